@@ -108,27 +108,33 @@ def merge_alike(class_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return cut(merged, "class-edges"), a_names, b_names
 
 
-def _zip_isolated(
+def _zip_stars(
     s_members: DataFrame, o_members: DataFrame, class_edges: DataFrame, settings: Settings
 ) -> tuple[DataFrame, DataFrame]:
-    """Class pairs without any other partner: the i-th settlement takes the i-th order.
+    """Stars need no rounds: around one hub class, everybody else has no other partner.
 
-    Returns their (s_pos, o_pos) and the class edges that remain. With
-    near-unique references this is nearly everything.
+    Their settlements and orders are each put in order and zipped. Returns the
+    (s_pos, o_pos) pairs and the class edges that are left; with near-unique
+    references nothing is.
     """
     degree_a = class_edges.groupBy("a").agg(F.count("*").alias("n_a"))
-    degree_b = class_edges.groupBy("b").agg(F.count("*").alias("n_b"))
-    edges = cut(class_edges.join(degree_a, "a").join(degree_b, "b"), "degrees")
-    alone = edges.filter("n_a = 1 and n_b = 1").select("a", "b")
-    s = s_members.join(alone.select("a"), "a", "left_semi")
-    o = o_members.join(alone, "b").select("a", "o_pos")
+    edges = class_edges.join(degree_a, "a")
+    per_b = edges.groupBy("b").agg(F.count("*").alias("n_b"), (F.max("n_a") == 1).alias("b_hub"))
+    edges = edges.join(per_b, "b")
+    per_a = edges.groupBy("a").agg((F.max("n_b") == 1).alias("a_hub"))
+    hub = F.when(F.col("b_hub"), F.concat(F.lit("b"), F.col("b"))).when(
+        F.col("a_hub"), F.concat(F.lit("a"), F.col("a")))
+    edges = cut(edges.join(per_a, "a").select("a", "b", hub.alias("hub")), "stars")
+    star = edges.filter("hub is not null")
+    s = s_members.join(star.select("a", "hub").distinct(), "a").select("hub", "s_pos")
+    o = o_members.join(star.select("b", "hub").distinct(), "b").select("hub", "o_pos")
     pairs = cut(
-        with_rank(s, ["a"], ["s_pos"], "i", settings)
-        .join(with_rank(o, ["a"], ["o_pos"], "i", settings), ["a", "i"])
+        with_rank(s, ["hub"], ["s_pos"], "i", settings)
+        .join(with_rank(o, ["hub"], ["o_pos"], "i", settings), ["hub", "i"])
         .select("s_pos", "o_pos"),
-        "isolated",
+        "star-pairs",
     )
-    return pairs, edges.filter("n_a > 1 or n_b > 1").select("a", "b")
+    return pairs, edges.filter("hub is null").select("a", "b")
 
 
 def assign_in_rounds(
@@ -142,7 +148,7 @@ def assign_in_rounds(
     free order of its order classes. The class holding the very first free
     settlement always advances, so every round makes progress.
     """
-    pairs, tangled = _zip_isolated(s_members, o_members, class_edges, settings)
+    pairs, tangled = _zip_stars(s_members, o_members, class_edges, settings)
     if tangled.isEmpty():
         return pairs
     edges, a_names, b_names = merge_alike(tangled)
