@@ -11,6 +11,7 @@ FAMILIES = [
     "matching",
     "intake",
     "reports",
+    "elt",
 ]
 
 
