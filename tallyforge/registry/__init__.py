@@ -12,6 +12,7 @@ FAMILIES = [
     "intake",
     "reports",
     "elt",
+    "surface",
 ]
 
 
