@@ -13,6 +13,8 @@ FAMILIES = [
     "reports",
     "elt",
     "surface",
+    "scalars",
+    "evaluation",
 ]
 
 
