@@ -15,6 +15,7 @@ FAMILIES = [
     "surface",
     "scalars",
     "evaluation",
+    "streams",
 ]
 
 
