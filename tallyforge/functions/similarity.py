@@ -32,26 +32,58 @@ def indel(a: str, b: str) -> float:
     return 2.0 * lcs_length(a, b) / total if total else 1.0
 
 
-def best_window(a: str, b: str) -> float:
+def _best_prefix(a: str, b: str) -> float:
+    """Best ``indel`` of ``a`` against the beginnings of ``b`` no longer than ``a``; one pass."""
+    n = len(a)
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | (1 << i)
+    full = (1 << n) - 1
+    row, best = full, 0.0
+    for i, ch in enumerate(b[:n], start=1):
+        hit = row & places.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+        score = 2.0 * (n - row.bit_count()) / (n + i)
+        if score > best:
+            best = score
+    return best
+
+
+def best_window(a: str, b: str, at_least: float = 0.0) -> float:
     """Best ``indel`` of the shorter text against the windows of the longer one.
 
     Windows are the full-width ones and the shorter ones cut off at either end.
+    Full-width windows are skipped when the texts share too little to beat the
+    best value so far (or ``at_least``).
     """
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
-        return 1.0 if not long_ else 0.0
+        return 1.0 if not long_ else at_least
     if short in long_:
         return 1.0
-    n = len(short)
-    best = 0.0
-    for start in range(1 - n, len(long_)):
-        best = max(best, indel(short, long_[max(0, start) : start + n]))
-    if len(a) == len(b):
-        for start in range(1 - n, n):
-            best = max(best, indel(long_, short[max(0, start) : start + n]))
+    n, m = len(short), len(long_)
+    back, back_long = short[::-1], long_[::-1]
+    best = max(at_least, _best_prefix(short, long_), _best_prefix(back, back_long))
+    if n == m:
+        return max(best, _best_prefix(long_, short), _best_prefix(back_long, back))
+    if m > n + 1 and min(n, lcs_length(a, b)) / n > best:
+        for i in range(1, m - n):
+            best = max(best, indel(short, long_[i : i + n]))
     return best
 
 
+def reference_similarity(a: str, b: str) -> float:
+    """the best of F1, F2 and F3."""
+    best = indel(a, b)
+    best = best_window(a, b, best)
+    da, db = digits_of(a), digits_of(b)
+    return max(best, indel(da, db)) if da and db and best < 1.0 else best
+
+
+def digits_of(s: str) -> str:
+    return "".join(ch for ch in s if "0" <= ch <= "9").lstrip("0")
+
+
 def _pairwise(fn):
     @F.pandas_udf("double")
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -73,6 +105,11 @@ def partial_ratio(a, b):
     return _pairwise(best_window)(a, b)
 
 
+def reference_ratio(a, b):
+    """F4 in one pass over the pairs."""
+    return _pairwise(reference_similarity)(a, b)
+
+
 def sequence_ratio(a, b):
     """F11. difflib's ratio of the matching blocks."""
     return _pairwise(lambda x, y: difflib.SequenceMatcher(None, x, y).ratio())(a, b)

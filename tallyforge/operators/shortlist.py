@@ -43,10 +43,8 @@ def hybrid_score(ref: Column, name: Column, semantic: Column) -> Column:
 
 
 def reference_score(a: Column, b: Column) -> Column:
-    """F4 from F1, F2 and F3 on upper-cased, trimmed references."""
-    da, db = text.digit_key(a), text.digit_key(b)
-    digits = F.when((da != "") & (db != ""), similarity.indel_ratio(da, db)).otherwise(0.0)
-    return F.greatest(similarity.indel_ratio(a, b), similarity.partial_ratio(a, b), digits)
+    """F4 on upper-cased, trimmed references."""
+    return similarity.reference_ratio(a, b)
 
 
 def name_score(a: Column, b: Column) -> Column:
@@ -141,6 +139,7 @@ def reference_pairs(records: DataFrame, pool: DataFrame, k: int, depth: int = 2)
     p_lengths = _lengths(pool, "p")
     d_lengths = _lengths(
         pool.select(text.digit_key(F.col("p")).alias("p")).filter("p <> ''").distinct(), "p")
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     open_r, scored = records, None
     for level in range(depth + 1):
         keyed = (
@@ -150,7 +149,9 @@ def reference_pairs(records: DataFrame, pool: DataFrame, k: int, depth: int = 2)
         )
         if level == 0:
             keyed = keyed.unionByName(_contained(open_r, pool.select("p")))
-        new = keyed.distinct()
+        # A fixed number of parts: scoring costs time, not bytes, and adaptive
+        # merging of small shuffle parts would leave it to one or two tasks.
+        new = keyed.repartition(parts, "r", "p").distinct()
         if scored is not None:
             new = new.join(scored.select("r", "p"), ["r", "p"], "left_anti")
         new = cut(new.withColumn("ref_score", reference_score(F.col("r"), F.col("p"))), f"pairs-{level}")
@@ -161,9 +162,11 @@ def reference_pairs(records: DataFrame, pool: DataFrame, k: int, depth: int = 2)
             _unseen_bound(F.length("r"), p_lengths, level, whole=False),
             _unseen_bound(F.length(text.digit_key(F.col("r"))), d_lengths, level, whole=True),
         )
+        limits = open_r.select("r", F.greatest(bound, F.lit(STRONG_REFERENCE)).alias("limit"))
         settled = (
-            scored.join(pool, "p")
-            .filter(F.col("ref_score") > F.greatest(bound, F.lit(STRONG_REFERENCE)))
+            scored.join(limits, "r")
+            .filter(F.col("ref_score") > F.col("limit"))
+            .join(pool, "p")
             .groupBy("r")
             .agg(F.sum("n").alias("n"))
             .filter(F.col("n") >= k)
@@ -207,7 +210,16 @@ def shortlist(
     first = lambda keys, df: with_rank(df, keys, ["pos", "candidate_id"], "_i", settings).filter(
         F.col("_i") <= k).drop("_i")
     strong = pairs.filter(F.col("ref_score") >= STRONG_REFERENCE).join(first(["p", *vec], cand), "p")
-    weak = pairs.filter(F.col("ref_score") < STRONG_REFERENCE).join(first(["p", "p_name", *vec], cand), "p")
+    weak = pairs.filter(F.col("ref_score") < STRONG_REFERENCE)
+    if not with_vectors:
+        # Names do not count for strong references, so the ranking is settled
+        # before any name is compared, and weak ones are only needed to fill up.
+        by_ref = Window.partitionBy("r").orderBy(F.desc(F.bround("ref_score", 4)), "pos", "candidate_id")
+        strong = cut(
+            strong.withColumn("_i", F.row_number().over(by_ref)).filter(F.col("_i") <= k).drop("_i"), "strong")
+        complete = strong.groupBy("r").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+        weak = weak.join(complete.select("r"), "r", "left_anti")
+    weak = weak.join(first(["p", "p_name", *vec], cand), "p")
     # Records are collapsed the same way: the ranking is made once per distinct
     # (reference, name, vector) and handed to the rows that carry it.
     r_class = ["r", "r_name", *(["r_vector"] if with_vectors else [])]

@@ -2,39 +2,31 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.plans.reconcile import Reconciliation, classify_unmatched, match_phases, reconcile
-from tallyforge.session import cut
 from tallyforge.sources import tables
 
 AS_OF = "2001-01-01"
 
-_batches: dict[tuple, object] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, name: str, make):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _batches:
-        _batches[key] = make()
-    return _batches[key]
+_batches: dict[tuple[str, str], Reconciliation] = {}
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2-M8 of the derived batch, as the reports read it: a written table."""
-    return _once(
+    return tables.once(
         spark, sf_dir, "matches",
-        lambda: cut(match_phases(tables.bank(spark, sf_dir), tables.ledger(spark, sf_dir)), "audit-log"))
+        lambda: match_phases(tables.bank(spark, sf_dir), tables.ledger(spark, sf_dir)))
 
 
 def adjudicated(spark: SparkSession, sf_dir: str) -> Reconciliation:
     """M1-M8 with shortlist and decisions."""
-    return _once(
-        spark, sf_dir, "adjudicated",
-        lambda: reconcile(
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _batches:
+        _batches[key] = reconcile(
             tables.bank(spark, sf_dir), tables.ledger(spark, sf_dir), tables.gateway(spark, sf_dir),
-            adjudication=True))
+            adjudication=True)
+    return _batches[key]
 
 
 def plain(spark: SparkSession, sf_dir: str) -> Reconciliation:
@@ -48,7 +40,6 @@ def plain(spark: SparkSession, sf_dir: str) -> Reconciliation:
 
 def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides of the unmatched records of ``plain``, classified."""
-    return _once(
+    return tables.once(
         spark, sf_dir, "exceptions",
-        lambda: cut(
-            classify_unmatched(plain(spark, sf_dir), tables.bank(spark, sf_dir), AS_OF), "exceptions"))
+        lambda: classify_unmatched(plain(spark, sf_dir), tables.bank(spark, sf_dir), AS_OF))
