@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from tallyforge.functions.money import blank_to_null, strip
@@ -88,9 +90,23 @@ def question_entity(question: Column) -> Column:
 
 def sorted_tokens(c: Column) -> Column:
     """Whitespace tokens in order, joined by one space (name comparison, case kept)."""
-    return F.array_join(F.array_sort(F.split(strip(c), r"\s+")), " ")
+    return F.array_join(F.sort_array(F.split(strip(c), r"\s+")), " ")
 
 
 def comparison_text(name: Column, description: Column, reference: Column) -> Column:
     """F7. 'name description reference', blanks kept as empty parts."""
     return strip(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (name, description, reference)]))
+
+
+def substrings_of(c: Column, lengths: Sequence[int]) -> Column:
+    """Distinct substrings of the given lengths, as an array."""
+
+    def of_length(n: int) -> Column:
+        return F.when(
+            F.length(c) >= n,
+            F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))),
+        ).otherwise(F.array().cast("array<string>"))
+
+    if not lengths:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))

@@ -111,7 +111,7 @@ def local_score(rows: DataFrame) -> DataFrame:
 
 def decision_key(rows: DataFrame) -> DataFrame:
     """sha256 of 'settlement:sorted,order,ids' per settlement (top-k rows each)."""
-    ids = F.array_join(F.array_sort(F.collect_list("order_id")), ",")
+    ids = F.array_join(F.sort_array(F.collect_list("order_id")), ",")
     return rows.groupBy("settlement_id").agg(
         F.sha2(F.concat(F.col("settlement_id"), F.lit(":"), ids), 256).alias("decision_key"))
 

@@ -35,7 +35,7 @@ def fold_by_key(edges: DataFrame) -> DataFrame:
     before a higher one starts.
     """
     grouped = edges.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(*EDGE))).alias("es")
+        F.sort_array(F.collect_list(F.struct(*EDGE))).alias("es")
     )
     empty = F.slice("es", 1, 0)
     folded = F.aggregate(
@@ -98,7 +98,7 @@ def merge_alike(class_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
     def renamed(edges: DataFrame, side: str, other: str) -> DataFrame:
         return edges.groupBy(side).agg(
-            F.sha2(F.to_json(F.array_sort(F.collect_set(other))), 256).alias(f"{side}2")
+            F.sha2(F.to_json(F.sort_array(F.collect_set(other))), 256).alias(f"{side}2")
         )
 
     b_names = cut(renamed(class_edges, "b", "a"), "merge-b")

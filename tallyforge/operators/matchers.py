@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge import settings as fixed
 from tallyforge.functions import money, text
 from tallyforge.operators import assignment
+from tallyforge.operators.ranking import with_rank
 from tallyforge.session import cut
 from tallyforge.settings import Settings
 
@@ -264,18 +265,6 @@ def match_split(bank: DataFrame, ledger: DataFrame, settings: Settings = Setting
 
 # --------------------------------------------------------------------- three-way triangulation
 
-def _windows_of(c: Column, lengths: Sequence[int]) -> Column:
-    """Distinct substrings of ``c`` of the given lengths."""
-    parts = [
-        F.when(
-            F.length(c) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i, n=n: F.substring(c, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
-    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
-
-
 def _id_lengths(df: DataFrame, column: str) -> list[int]:
     """Distinct id lengths: as many values as an id has characters, whatever the table size."""
     rows = df.select(F.length(column).alias("n")).filter("n > 0").distinct().collect()
@@ -299,10 +288,10 @@ def triangulation_links(bank: DataFrame, gateway: DataFrame) -> tuple[DataFrame,
 
     in_text = F.concat(
         F.transform(
-            F.coalesce(_windows_of(desc, _id_lengths(gateway, "order_id")), F.array().cast("array<string>")),
+            F.coalesce(text.substrings_of(desc, _id_lengths(gateway, "order_id")), F.array().cast("array<string>")),
             lambda w: token("O:", w)),
         F.transform(
-            F.coalesce(_windows_of(desc, _id_lengths(gateway, "payout_id")), F.array().cast("array<string>")),
+            F.coalesce(text.substrings_of(desc, _id_lengths(gateway, "payout_id")), F.array().cast("array<string>")),
             lambda w: token("P:", w)),
     )
     named = F.array(
@@ -339,11 +328,11 @@ def match_triangulation(
     g = cut(g.join(s.select("token").distinct(), "token", "left_semi"), "payout-tokens")
 
     s_members = s.groupBy("settlement_id", "date", "net_amount").agg(
-        F.sha2(F.to_json(F.struct("net_amount", F.array_sort(F.collect_set("token")))), 256).alias("a"))
+        F.sha2(F.to_json(F.struct("net_amount", F.sort_array(F.collect_set("token")))), 256).alias("a"))
     o_members = g.groupBy("order_id", "ingest_seq", "expected_amount").agg(
         F.sha2(
             F.to_json(
-                F.struct("expected_amount", F.array_sort(F.collect_set(F.struct("token", "net_payout"))))
+                F.struct("expected_amount", F.sort_array(F.collect_set(F.struct("token", "net_payout"))))
             ), 256,
         ).alias("b"))
     s_members, o_members = cut(s_members, "bank-classes"), cut(o_members, "order-classes")
@@ -386,7 +375,7 @@ def settled_references(bank: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def visiting_order(bank: DataFrame) -> DataFrame:
+def visiting_order(bank: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The settlements' order inside a reference key; never one order over the whole table."""
-    w = Window.partitionBy("key").orderBy("date", "settlement_id")
-    return bank.withColumn("key", reference_key_of(bank)).withColumn("visit", F.row_number().over(w))
+    keyed = bank.withColumn("key", reference_key_of(bank)).filter("key is not null")
+    return with_rank(keyed, ["key"], ["date", "settlement_id"], "visit", settings)

@@ -39,13 +39,6 @@ def part_sums(split: DataFrame, group: Sequence[str], **sums) -> DataFrame:
     )
 
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def join_parts(split: DataFrame, per_part: DataFrame, group: Sequence[str]) -> DataFrame:
     keys = [*group, "_part"]
     extra = [c for c in per_part.columns if c not in keys]

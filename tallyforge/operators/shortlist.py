@@ -88,15 +88,8 @@ def _contained(r: DataFrame, p: DataFrame) -> DataFrame:
     """(r, p) where one text contains the other, by joining texts with substrings."""
 
     def windows(long_: DataFrame, lengths: list[int], name: str) -> DataFrame:
-        c = F.col(name)
-        parts = [
-            F.when(
-                F.length(c) > n,
-                F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i, n=n: F.substring(c, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in lengths
-        ]
-        return long_.select(name, F.explode(F.array_distinct(F.concat(*parts))).alias("part"))
+        return long_.select(name, F.explode(text.substrings_of(F.col(name), lengths)).alias("part")).filter(
+            F.length("part") < F.length(name))
 
     out = r.join(p, F.col("r") == F.col("p")).select("r", "p")
     r_lengths, p_lengths = _lengths(r, "r"), _lengths(p, "p")

@@ -262,7 +262,7 @@ def customer_scores(
         .select("customer_name", "ingest_seq", "order_id", reason.alias("reason"))
         .withColumn("nth", F.row_number().over(w)).filter("nth <= 2")
         .groupBy("customer_name")
-        .agg(F.array_sort(F.collect_list(F.struct("nth", "reason"))).alias("reasons")))
+        .agg(F.sort_array(F.collect_list(F.struct("nth", "reason"))).alias("reasons")))
     n = F.col("default_violations_count")
     avg_lag = F.when(F.col("lag_count") > 0, F.bround(F.col("lag_sum") / F.col("lag_count"), 1)).otherwise(
         F.lit(fixed.DEFAULT_LAG_DAYS))
@@ -523,7 +523,7 @@ def general_summary(
         .join(count(matches, "reconciled_matches_count"), F.lit(True))
         .join(count(exceptions, "unresolved_exceptions_count"), F.lit(True)))
     head = summary_exceptions(exceptions).limit(listed).agg(
-        F.array_sort(F.collect_list(F.struct("priority", "category", "record_id"))).alias("active_exceptions"))
+        F.sort_array(F.collect_list(F.struct("priority", "category", "record_id"))).alias("active_exceptions"))
     m, t = F.col("reconciled_matches_count"), F.col("total_bank_settlements")
     return row.withColumn("match_rate_percent", F.bround(_ratio(m, t, 0.0) * 100, 2)).join(head, F.lit(True))
 

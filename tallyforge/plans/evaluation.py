@@ -95,7 +95,7 @@ def exact_quantiles(values: DataFrame, column: str, probabilities: Sequence[floa
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = PSI_BINS) -> DataFrame:
     """V13. Population stability over the deciles of the reference."""
     edges = exact_quantiles(reference, column, [i / bins for i in range(1, bins)]).agg(
-        F.array_sort(F.collect_list("value")).alias("edges"))
+        F.sort_array(F.collect_list("value")).alias("edges"))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))

@@ -104,7 +104,7 @@ def drop_near_copies(df: DataFrame, id_column: str, text: str, threshold: float
     Jaccard similarity. So a band is compared with its kept texts only, never
     pairwise, however many copies it holds.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")))
+    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")))
     sets = df.select(F.col(id_column).alias("id"), words.alias("words")).withColumn(
         "k", F.sha2(F.concat_ws(" ", "words"), 256))
     first = sets.groupBy("k").agg(F.min("id").alias("id"))

@@ -320,7 +320,7 @@ def _aggregates(reg: Registry):
                last(o_orderkey ORDER BY o_totalprice, o_orderkey) AS largest FROM orders GROUP BY 1""")
     # Lists hold distinct values of a small domain, never the rows of a group.
     reg.add("D19_list_and_string_agg", lambda s, d: orders(s, d).groupBy("o_orderstatus").agg(
-        F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ", ").alias("priorities"),
+        F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ", ").alias("priorities"),
         F.size(F.collect_set(F.year("o_orderdate"))).alias("years")), """
         SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities,
                len(list(DISTINCT year(o_orderdate))) AS years FROM orders GROUP BY 1""")
@@ -729,7 +729,7 @@ def _shapes(reg: Registry):
             (F.map_contains_key("m", "k") & F.map_contains_key("m", "zz")).alias("has_all"),
             (F.map_contains_key("m", "k") | F.map_contains_key("m", "zz")).alias("has_any"),
             (F.element_at("m", "k") == "7").alias("contains_k7"), F.element_at(left, "type").alias("type"),
-            F.array_join(F.array_sort(F.map_keys(left)), ",").alias("keys"))
+            F.array_join(F.sort_array(F.map_keys(left)), ",").alias("keys"))
 
     reg.add("D63_json_operations", json_ops, """
         SELECT event_id, true AS has_k, false AS has_all, true AS has_any, json_contains(props, '{"k": 7}') AS contains_k7,
