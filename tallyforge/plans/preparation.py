@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge.functions.money import strip
 from tallyforge.operators.ranking import with_rank
-from tallyforge.session import cut
+from tallyforge.session import cut, spread
 
 # Refusal patterns, length limits and the LSH layout for a
 # Jaccard threshold of 0.8 (bands x rows of the 128 permutations).
@@ -104,13 +104,14 @@ def drop_near_copies(df: DataFrame, id_column: str, text: str, threshold: float
     Jaccard similarity. So a band is compared with its kept texts only, never
     pairwise, however many copies it holds.
     """
-    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")))
-    sets = df.select(F.col(id_column).alias("id"), words.alias("words")).withColumn(
-        "k", F.sha2(F.concat_ws(" ", "words"), 256))
-    first = sets.groupBy("k").agg(F.min("id").alias("id"))
-    unique = cut(sets.join(first, ["k", "id"]).select("id", "words"), "word-sets")
+    rows = spread(df.select(F.col(id_column).alias("id"), text.alias("text")))
+    words = F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower("text"), r"\s+"), "")))
+    sets = cut(
+        rows.select("id", words.alias("words")).withColumn("k", F.sha2(F.concat_ws(" ", "words"), 256)), "word-sets")
+    first = cut(sets.groupBy("k").agg(F.min("id").alias("id")).select("id"), "first-of-set")
+    unique = sets.join(first, "id", "left_semi").select("id", "words")
     empty = unique.filter(F.size("words") == 0).select("id")
-    signed = unique.filter(F.size("words") > 0).withColumn(
+    signed = spread(unique.filter(F.size("words") > 0)).withColumn(
         "sig", _signature()(F.transform("words", lambda w: F.xxhash64(w))))
     band = lambda i: F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", i * ROWS + 1, ROWS)).alias("h"))
     bands = cut(signed.select("id", F.inline(F.array(*[band(i) for i in range(BANDS)]))), "bands")

@@ -8,6 +8,7 @@ from tallyforge.functions import stats
 from tallyforge.plans import evaluation as ev
 from tallyforge.plans import preparation as pr
 from tallyforge.registry.core import Registry
+from tallyforge.session import spread
 from tallyforge.sources import tables as t
 
 K = 5
@@ -95,9 +96,9 @@ def register(reg: Registry):
         SELECT conv_id, turn, 0 AS position, 'system' AS role, 'Be brief.' AS content FROM {EXAMPLES}
         UNION ALL SELECT conv_id, turn, 1, 'user', instruction FROM {EXAMPLES}
         UNION ALL SELECT conv_id, turn, 2, 'assistant', output FROM {EXAMPLES}""")
-    reg.add("V7_fixed_chunks", lambda s, d: t.table(s, d, "documents").select(
+    reg.add("V7_fixed_chunks", lambda s, d: spread(t.table(s, d, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(pr.fixed_chunks()(F.col("text"))).alias("pos", "chunk")))
-    reg.add("V8_sentence_chunks", lambda s, d: t.table(s, d, "documents").select(
+    reg.add("V8_sentence_chunks", lambda s, d: spread(t.table(s, d, "documents").select("doc_id", "text")).select(
         "doc_id", F.inline(pr.sentence_chunks(F.col("text")))), r"""
         SELECT doc_id, array_to_string(s[i + 1:i + 5], ' ') AS text, CAST(i AS INTEGER) AS start_sentence,
                CAST(least(i + 5, len(s)) - 1 AS INTEGER) AS end_sentence

@@ -60,3 +60,13 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for all cores before costly row work.
+
+    Only an input of fewer partitions than cores (one small file, say) is
+    shuffled; a large input already has more and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

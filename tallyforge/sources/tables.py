@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyforge.functions import money
-from tallyforge.session import cut
+from tallyforge.session import cut, spread
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -29,7 +29,7 @@ def _code(prefix: str, key: Column) -> Column:
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             "o_orderkey",
