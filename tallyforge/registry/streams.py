@@ -42,10 +42,12 @@ def _micros(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.unix_micros(c) for c in cols})
 
 
-def _bank_stream(s, d) -> DataFrame:
+def _bank_stream(s, d, max_files: int | None = None) -> DataFrame:
+    """Bank rows as a drop folder. Its files are not in date order, so flows with a
+    watermark take them in one trigger; others may take one file at a time."""
     path, b = new_path(s, "bank-drops"), t.bank(s, d)
     b.write.parquet(path)
-    return flows.file_stream(s, path, b.schema, max_files=1)
+    return flows.file_stream(s, path, b.schema, max_files=max_files)
 
 
 def register(reg: Registry):
@@ -109,7 +111,7 @@ def register(reg: Registry):
 
     def stream_static(s, d):
         out, check = new_path(s, "stream-matches"), new_path(s, "stream-checkpoint")
-        flows.match_stream_to_ledger(_bank_stream(s, d), t.ledger(s, d), out, check)
+        flows.match_stream_to_ledger(_bank_stream(s, d, max_files=1), t.ledger(s, d), out, check)
         return s.read.parquet(out).select("settlement_id", "order_id", "rule_applied")
 
     reg.add("R12_R14_stream_static_match", stream_static, with_ctes(
