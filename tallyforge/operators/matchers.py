@@ -351,11 +351,17 @@ def match_triangulation(
         cut(edges, "triangulation-edges"),
         settings,
     )
-    return pairs.select(
-        F.col("s_pos.settlement_id").alias("settlement_id"),
-        F.col("o_pos.order_id").alias("order_id"),
-        F.lit(fixed.RULE_GATEWAY).alias("rule_applied"),
+    found = pairs.select(
+        F.col("s_pos.settlement_id").alias("settlement_id"), F.col("o_pos.order_id").alias("order_id"))
+    # The payout that a pair went through: the first by id that fits.
+    through = (
+        found.join(s.select("settlement_id", "token", "net_amount"), "settlement_id")
+        .join(g, ["order_id", "token"])
+        .filter(accept)
+        .groupBy("settlement_id", "order_id")
+        .agg(F.min("payout_id").alias("payout_id"))
     )
+    return through.withColumn("rule_applied", F.lit(fixed.RULE_GATEWAY))
 
 
 # --------------------------------------------------------------------- what is left

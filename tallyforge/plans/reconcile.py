@@ -24,7 +24,7 @@ ADJUDICATION_PHASE = 9
 
 @dataclass
 class Reconciliation:
-    matches: DataFrame  # settlement_id, order_id, rule_applied, confidence, phase, status
+    matches: DataFrame  # settlement_id, order_id, rule_applied, confidence, phase, status, payout_id
     free_bank: DataFrame
     free_ledger: DataFrame
     candidates: DataFrame | None = None  # bank-side candidate rows
@@ -45,6 +45,7 @@ def _tagged(found: DataFrame) -> DataFrame:
         _from_map(CONFIDENCE, rule, 1.0).alias("confidence"),
         _from_map(PHASE, rule, 0).cast("int").alias("phase"),
         F.lit("matched").alias("status"),
+        (F.col("payout_id") if "payout_id" in found.columns else F.lit(None).cast("string")).alias("payout_id"),
     )
 
 
@@ -99,7 +100,8 @@ def reconcile(
     logged = outcomes.filter(F.col("rule_applied").isNotNull()).select(
         "settlement_id", F.col("matched_order_id").alias("order_id"), "rule_applied", "confidence",
         F.lit(ADJUDICATION_PHASE).alias("phase"),
-        F.when(F.col("outcome") == "auto_matched", "matched").otherwise("review").alias("status"))
+        F.when(F.col("outcome") == "auto_matched", "matched").otherwise("review").alias("status"),
+        F.lit(None).cast("string").alias("payout_id"))
     matches = matches.unionByName(logged)
     taken = matches.filter("status = 'matched'")
     return Reconciliation(
@@ -156,7 +158,7 @@ def with_reasons(matches: DataFrame, bank: DataFrame, ledger: DataFrame) -> Data
             F.col("rule_applied") == fixed.RULE_GATEWAY,
             sentence(
                 "3-Way Triangulation Verified: Bank Settlement ", sid, " (Net ", rupees(net),
-                ") <--> ERP Order ", oid, " (Gross ", rupees(e), ", MDR 2% ", rupees(fee), ")"),
+                ") <--> Gateway Payout ", F.col("payout_id"), " <--> ERP Order ", oid, " (Gross ", rupees(e), ", MDR 2% ", rupees(fee), ")"),
         )
         .when(
             F.col("rule_applied") == fixed.RULE_EXACT,

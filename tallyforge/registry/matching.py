@@ -22,7 +22,8 @@ def _bl(spark, d):
 def register(reg: Registry):
     pairs = {
         "M1_gateway_triangulation": (
-            lambda s, d: matchers.match_triangulation(t.bank(s, d), t.gateway(s, d), t.ledger(s, d)), "m1"),
+            lambda s, d: matchers.match_triangulation(t.bank(s, d), t.gateway(s, d), t.ledger(s, d)).select(
+                "settlement_id", "order_id", "rule_applied"), "m1"),
         "M2_exact_reference": (lambda s, d: matchers.match_exact(*_bl(s, d)), "m2"),
         "M5_partial_groups": (lambda s, d: matchers.match_partial(*_bl(s, d)), "m5_alone"),
         "M7_split_combined": (lambda s, d: matchers.match_split(*_bl(s, d)), "m7_alone"),
@@ -218,6 +219,18 @@ def register(reg: Registry):
                 SELECT settlement_id, ingest_seq, (ingest_seq % 130) / 100 AS c FROM bank))""", "bank"))
     reg.add("X4e_ledger_candidates", lambda s, d: rc.classify_unmatched(
         views.adjudicated(s, d), t.bank(s, d), views.AS_OF))
+    def triangulation_reasons(s, d):
+        b, l = _bl(s, d)
+        found = rc._tagged(matchers.match_triangulation(b, t.gateway(s, d), l))
+        return rc.with_reasons(found, b, l).select("settlement_id", "order_id", "reason")
+
+    from tallyforge.registry.oracle_ctes import mdr, rupees
+
+    reg.add("N17_triangulation_reasons", triangulation_reasons, with_ctes(f"""
+        SELECT settlement_id, order_id, '3-Way Triangulation Verified: Bank Settlement ' || settlement_id || ' (Net '
+               || {rupees('net_amount')} || ') <--> Gateway Payout PAYOUT' || order_id[4:] || ' <--> ERP Order ' || order_id
+               || ' (Gross ' || {rupees('expected_amount')} || ', MDR 2% ' || {rupees(mdr('expected_amount'))} || ')' AS reason
+        FROM m1 JOIN bank USING (settlement_id) JOIN ledger USING (order_id)""", "m1"))
     reg.add("N17_audit_reasons", lambda s, d: rc.with_reasons(
         views.matches(s, d), t.bank(s, d), t.ledger(s, d)).select(
         "settlement_id", "order_id", "rule_applied", "reason"), _reasons_sql())

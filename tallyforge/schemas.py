@@ -22,8 +22,8 @@ GATEWAY = _schema(
     gateway_tax=_L, net_payout=_L, status=_S, ingest_seq=_L,
 )
 MATCHES = _schema(
-    settlement_id=_S, order_id=_S, rule_applied=_S, confidence=T.DoubleType(), phase=T.IntegerType(),
-    reason=_S,
+    settlement_id=_S, order_id=_S, rule_applied=_S, confidence=T.DoubleType(), phase=T.IntegerType(), status=_S,
+    payout_id=_S,
 )
 EXCEPTIONS = _schema(
     record_id=_S, source=_S, category=_S, reason=_S, suggested_action=_S, priority=_S,
