@@ -11,5 +11,20 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash_near_dedup,)}
+def op9_toxicity(spark, sf_dir):
+    from tallyforge.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    from tallyforge.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op9_toxicity, op10_simhash_near_dedup)}
 SQL: dict[str, str] = {}
