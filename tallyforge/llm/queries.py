@@ -26,5 +26,20 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op9_toxicity, op10_simhash_near_dedup)}
+def op3_benchmark_decontamination(spark, sf_dir):
+    from tallyforge.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_pii_pseudonyms(spark, sf_dir):
+    from tallyforge.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, KEY, count_col="n_replaced")
+
+
+#: The key of the registered query and the pipeline; real data need one of their own.
+KEY = "registered-query"
+QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_benchmark_decontamination, op5_best_fit_packing, op9_toxicity, op10_simhash_near_dedup)}
 SQL: dict[str, str] = {}
