@@ -23,51 +23,38 @@ END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces of one length that one window ranks, roughly.
 RANKED_ROWS = 100_000
-#: Distinct word forms a worker remembers the ids of.
-REMEMBERED = 300_000
-_UNIT = re.compile(r"\s*\S+|\s+")
-#: Python counts these as white space, tokenizers do not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_LONG_RUN = re.compile(r"(?<!\S)\S{1000}|(?<!\s)\s{1000}")
+# Byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from 256 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+_BYTE = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
-    Byte-level tokenizers of this kind never merge over the edge from a non-space to a space, so runs of space plus word
-    are encoded one by one and remembered.
+    The vocabulary file, its ids and its splitting are those of `tokenizers`; as the ids of this byte-level vocabulary are
+    also the order of its merges, `tiktoken` gives the same ids from them at several times the speed. Texts with very long
+    runs, on which its matching is slow, go to `tokenizers` itself. The tests hold the two against each other.
     """
 
     def __init__(self, name: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        if not os.path.isabs(name):
-            import public_tokenizers
-
-            name = public_tokenizers.path(name)
+        path = name if os.path.isabs(name) else public_tokenizers.path(name)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(name)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        ranks = {bytes(_BYTE[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if i not in special}
+        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def many(self, texts: list[str]):
-        """The ids of every text, in order."""
-        known = self.known
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                yield self._encode([text])[0]
-                continue
-            units = _UNIT.findall(text)
-            fresh = list({u for u in units if u not in known})
-            if fresh:
-                if len(known) + len(fresh) > REMEMBERED:
-                    known.clear()
-                    fresh = list(set(units))
-                known.update(zip(fresh, self._encode(fresh)))
-            yield b"".join([known[u] for u in units])
+    def one(self, text: str) -> bytes:
+        slow = len(text) >= 1000 and _LONG_RUN.search(text)
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if slow else self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 def encoder(name: str) -> Encoder:
@@ -91,8 +78,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         codes, end = encoder(tokenizer), np.array([END], "<u4").tobytes()
         for pdf in batches:
             out = []
-            for doc, ids in zip(pdf["id"], codes.many([t or "" for t in pdf["text"]])):
-                ids = memoryview(ids + end)
+            for doc, text in zip(pdf["id"], pdf["text"]):
+                ids = memoryview(codes.one(text or "") + end)
                 for i, (start, length) in enumerate(cut_ids(len(ids) // 4, capacity)):
                     part = ids[4 * start:4 * (start + length)]
                     row = (doc, i, start, length, zlib.crc32(part))
@@ -116,7 +103,15 @@ def _pair(free: np.ndarray, total: int, top: int) -> tuple[int, tuple[int, int]]
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences); ``counts[l]`` pieces have length l."""
+    """(lengths of a sequence, how many such sequences); ``counts[l]`` pieces have length l.
+
+    Taking every complement at once can use up short pieces that would fill more gaps one by one, so the plans with
+    complements of up to three, two, one and no pieces are compared and the one of fewest sequences is taken.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda made: sum(n for _, n in made))
+
+
+def _plan(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     free = np.array(counts, np.int64)
     made: list[tuple[tuple[int, ...], int]] = []
 
@@ -129,32 +124,43 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
             made.append((lengths, times))
         return times > 0
 
-    for length in range(capacity, 0, -1):
+    def complete(length: int, parts: int) -> bool:
+        """One or more sequences of ``length`` and that many other pieces, exactly full."""
         gap = capacity - length
-        if not gap:
-            take(length)
-        while free[length] and gap:
-            if take(length, gap):
-                continue
-            free[length] -= 1  # the piece to be completed
+        if not free[length] or gap < parts:
+            return False
+        if parts == 1:
+            return take(length, gap)
+        free[length] -= 1
+        rest: tuple[int, ...] = ()
+        if parts == 2:
             times, two = _pair(free, gap, gap)
-            three = ()
-            if not times:
-                for a in np.flatnonzero(free[1:gap - 1])[::-1] + 1:
-                    free[a] -= 1
-                    times, rest = _pair(free, gap - int(a), min(int(a), gap - int(a)))
-                    free[a] += 1
-                    if times:
-                        three = (int(a), *rest)
-                        break
-            free[length] += 1
-            if not times or not take(length, *(three or two)):
-                break
+            rest = two if times else ()
+        else:
+            for a in np.flatnonzero(free[:gap - 1])[::-1].tolist():
+                if 3 * a < gap:
+                    break
+                free[a] -= 1
+                times, two = _pair(free, gap - a, a)
+                free[a] += 1
+                if times:
+                    rest = (a, *two)
+                    break
+        free[length] += 1
+        return bool(rest) and take(length, *rest)
+
+    take(capacity)
+    for parts in range(1, most + 1):  # pieces beyond the half come first: no two of them share a sequence
+        for length in range(capacity - 1, capacity // 2, -1):
+            while complete(length, parts):
+                pass
     gaps: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for length in range(capacity, 0, -1):
+    for length in range(capacity - 1, 0, -1):
         while free[length]:
             room = min((r for r in gaps if r >= length), default=None)
             if room is None:
+                if any(complete(length, parts) for parts in range(1, most + 1)):
+                    continue
                 each = capacity // length
                 times, rest = divmod(int(free[length]), each)
                 for k, n in ((each, times), (rest, 1)):
