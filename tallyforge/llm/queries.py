@@ -39,7 +39,21 @@ def op2_pii_pseudonyms(spark, sf_dir):
     return pii.pseudonymise(docs, KEY, count_col="n_replaced")
 
 
+def op4_virtual_slot_sharding(spark, sf_dir):
+    from tallyforge.llm import sharding
+
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark, sf_dir):
+    from tallyforge.llm import substrings
+
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 #: The key of the registered query and the pipeline; real data need one of their own.
 KEY = "registered-query"
-QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_benchmark_decontamination, op5_best_fit_packing, op9_toxicity, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_benchmark_decontamination,
+                                  op4_virtual_slot_sharding, op5_best_fit_packing, op7_substring_dedup, op9_toxicity,
+                                  op10_simhash_near_dedup)}
 SQL: dict[str, str] = {}

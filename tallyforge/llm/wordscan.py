@@ -56,3 +56,16 @@ def hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out[at:upto] = mix((sums[e] - sums[s]) * _INVERSE[s] + (e - s).astype(np.uint64))
         at = upto
     return out
+
+
+def windows(hashed: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` consecutive words, from the words' hashes."""
+    n = len(hashed) - width + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for at in range(0, n, _CHUNK):
+        part = hashed[at:at + _CHUNK + width - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _POW[:len(part)], out=sums[1:])
+        size = len(part) - width + 1
+        out[at:at + size] = mix((sums[width:] - sums[:size]) * _INVERSE[:size])
+    return out
