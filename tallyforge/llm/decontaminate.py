@@ -3,7 +3,8 @@
 Windows of about an item's size slide over the words of a text. The CGK random walk emits the word under its pointer and
 then stays or moves on, as a random bit of (step, word) says; windows within a small edit distance emit mostly the same
 words at the same steps. A repetition samples some steps of one walk as the key. Windows whose key also occurs in an item
-are candidates, and the edit distance between the item and the text around the window decides.
+and whose whole embedding is not too far from that window's in Hamming distance are candidates; the edit distance between
+the item and the text around the window decides.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from tallyforge.session import cut
 #: Least similarity: one minus the edit distance by the item's length, both in characters of the normalised words.
 SIMILARITY = 0.8
 #: Walks; the recall of windows with 10 % edited words is measured in the tests.
-REPETITIONS = 4
+REPETITIONS = 5
 #: Steps of a walk that make a key.
 SAMPLED = 4
+#: Least share of equal steps in the embeddings of a candidate's two windows, and of the item's words around them.
+AGREEMENT = 0.25
+#: Words of documents that are embedded together, and windows at a time.
+BATCH_WORDS = 200_000
+_WINDOWS = 1 << 16
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 BLOCK_BYTES = 16_000_000
 
@@ -46,24 +52,38 @@ def _length(n_words: int) -> int:
     return length
 
 
-def walk_keys(hashes: np.ndarray, starts: np.ndarray, length: int, repetition: int) -> np.ndarray:
-    """The key of the window of ``length`` words at each of ``starts``."""
-    n, steps = len(hashes), 2 * length
-    rng = np.random.default_rng([repetition, length])
-    sampled = set(rng.choice(steps, min(SAMPLED, steps), replace=False).tolist())
-    padded = np.append(hashes, np.uint64(0))
-    at, end = starts.copy(), np.minimum(starts + length, n)
-    key = np.full(len(starts), length, np.uint64)
-    for step in range(max(sampled) + 1):
+def walk(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, repetition: int, last: int):
+    """The words that the windows from ``starts`` emit at steps 0 to ``last``; 0 beyond their ends."""
+    at, end = starts.copy(), np.minimum(starts + length, ends)
+    for step in range(last + 1):
         if step % 64 == 0:
             bits = np.append(wordscan.mix(hashes, 1 + repetition * 1009 + step // 64), np.uint64(0))
         inside = at < end
+        yield at, inside
+        at = at + (((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).astype(bool) & inside)
+
+
+def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, repetition: int) -> np.ndarray:
+    """The key of the window of ``length`` words, none from ``ends`` on, at each of ``starts``."""
+    rng = np.random.default_rng([repetition, length])
+    sampled = set(rng.choice(2 * length, min(SAMPLED, 2 * length), replace=False).tolist())
+    padded, key = np.append(hashes, np.uint64(0)), np.full(len(starts), length, np.uint64)
+    for step, (at, inside) in enumerate(walk(hashes, starts, ends, length, repetition, max(sampled))):
         if step in sampled:
             key = wordscan.mix(key ^ np.where(inside, padded[at], np.uint64(0)), step + 1)
-        at += ((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64) & inside
     return key
 
 
+def agreement(left, right, length: int, repetition: int) -> np.ndarray:
+    """Share of equal steps of two embeddings, up to their ends; each side is (hashes, starts, ends)."""
+    a, b = np.append(left[0], np.uint64(0)), np.append(right[0], np.uint64(0))
+    equal, steps = np.zeros(len(left[1]), np.int64), np.zeros(len(left[1]), np.int64)
+    for (i, x), (j, y) in zip(*(walk(*side, length, repetition, 2 * length - 1) for side in (left, right))):
+        equal += x & y & (a[i] == b[j])
+        steps += x | y
+    return equal / steps
+
+
 def edit_distance_inside(pattern: bytes, text: bytes) -> int:
     """Least edit distance between ``pattern`` and any substring of ``text`` (bit-parallel, one column per byte)."""
     m = len(pattern)
@@ -89,18 +109,22 @@ class Index:
     """Keys of every window of every item, by window length and repetition."""
 
     def __init__(self, items: list[tuple], repetitions: int):
-        self.items, rows = [], {}
+        self.items, rows, hashed = [], {}, []
+        first = 0
         for item_id, text in items:
             data, starts, ends = _words(text)
             if not len(starts):
                 continue
             number, n = len(self.items), len(starts)
-            self.items.append((item_id, b" ".join(data[s:e] for s, e in zip(starts, ends)), n))
-            hashes, length = wordscan.hashes(data, starts, ends), _length(n)
+            self.items.append((item_id, b" ".join(data[s:e] for s, e in zip(starts, ends)), n, first))
+            hashed.append(wordscan.hashes(data, starts, ends))
+            length = _length(n)
             offsets = np.arange(n - length + 1)
             for rep in range(repetitions):
-                keys = walk_keys(hashes, offsets, length, rep)
+                keys = walk_keys(hashed[-1], offsets, np.full(len(offsets), n), length, rep)
                 rows.setdefault((length, rep), []).append((keys, np.full(len(keys), number), offsets))
+            first += n
+        self.hashes = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
         self.tables = {}
         for place, parts in rows.items():
             keys, number, offset = (np.concatenate(x) for x in zip(*parts))
@@ -109,38 +133,57 @@ class Index:
             seen[keys & np.uint64(0xFFFF)] = True
             self.tables[place] = keys[order], number[order], offset[order], seen
 
-    def candidates(self, hashes: np.ndarray):
-        """(item number, word of the text where the item would begin), without repetition."""
+    def candidates(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+        """Item number and the word at which the item would begin; ``begins`` and ``ends`` bound each word's text."""
         found = set()
+        place = np.arange(len(hashes)) - begins
+        size, firsts = np.array([i[2] for i in self.items]), np.array([i[3] for i in self.items])
         for (length, rep), (keys, number, offset, seen) in self.tables.items():
-            starts = np.arange(0, max(1, len(hashes) - length + 1), _stride(length))
-            own = walk_keys(hashes, starts, length, rep)
-            maybe = np.flatnonzero(seen[own & np.uint64(0xFFFF)])
-            low, high = np.searchsorted(keys, own[maybe]), np.searchsorted(keys, own[maybe], "right")
-            for i, lo, hi in zip(starts[maybe[high > low]], low[high > low], high[high > low]):
-                found.update((int(number[k]), int(i - offset[k])) for k in range(lo, hi))
+            grid = np.flatnonzero((place % _stride(length) == 0) & (place <= np.maximum(0, ends - begins - length)))
+            for lo in range(0, len(grid), _WINDOWS):
+                starts = grid[lo:lo + _WINDOWS]
+                own = walk_keys(hashes, starts, ends[starts], length, rep)
+                maybe = np.flatnonzero(seen[own & np.uint64(0xFFFF)])
+                low, high = np.searchsorted(keys, own[maybe]), np.searchsorted(keys, own[maybe], "right")
+                at = np.repeat(starts[maybe], high - low)
+                if not len(at):
+                    continue
+                k = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
+                item, shift = number[k], offset[k]
+                there = self.hashes, firsts[item] + shift, firsts[item] + size[item]
+                near = agreement((hashes, at, ends[at]), there, length, rep) >= AGREEMENT
+                found.update(zip(item[near].tolist(), (at - shift)[near].tolist()))
         return found
 
-    def matches(self, text: str | None, similarity: float) -> dict[int, float]:
-        """Item number to the best similarity found, if at least ``similarity``."""
-        data, starts, ends = _words(text)
-        best: dict[int, float] = {}
-        if not len(starts):
-            return best
-        tried = set()
-        for number, begin in sorted(self.candidates(wordscan.hashes(data, starts, ends))):
-            _, pattern, n = self.items[number]
+    def matches(self, texts: list[str | None], similarity: float):
+        """(text number, item number, best similarity found) wherever it is at least ``similarity``."""
+        words = [_words(t) for t in texts]
+        counts = np.array([len(w[1]) for w in words])
+        edges = np.concatenate(([0], np.cumsum(counts)))
+        if not self.items or not edges[-1]:
+            return []
+        hashes = np.concatenate([wordscan.hashes(*w) for w in words])
+        best, tried = {}, set()
+        for number, begin in sorted(self.candidates(hashes, np.repeat(edges[:-1], counts), np.repeat(edges[1:], counts))):
+            _, pattern, n, _ = self.items[number]
             slack = n // 4 + 2
-            place = number, begin // slack
-            if place in tried or best.get(number) == 1.0:
+            doc = int(np.searchsorted(edges, min(max(begin + n // 2, 0), edges[-1] - 1), "right")) - 1
+            begin -= int(edges[doc])
+            place = doc, number, begin // slack
+            if place in tried or best.get((doc, number)) == 1.0:
                 continue
             tried.add(place)
+            data, starts, ends = words[doc]
             lo, hi = max(0, (begin // slack - 1) * slack), (begin // slack + 2) * slack + n
-            around = b" ".join(data[s:e] for s, e in zip(starts[lo:hi], ends[lo:hi]))
+            parts = [data[s:e] for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+            own = set(pattern.split(b" "))
+            if len(own.intersection(parts)) < AGREEMENT * len(own):
+                continue
+            around = b" ".join(parts)
             score = 1 - edit_distance_inside(pattern, around) / len(pattern)
             if score >= similarity:
-                best[number] = max(score, best.get(number, 0.0))
-        return best
+                best[doc, number] = max(score, best.get((doc, number), 0.0))
+        return sorted((doc, number, score) for (doc, number), score in best.items())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -167,10 +210,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches):
             known = shared.value
             for pdf in batches:
-                out = [(doc, known.items[k][0], s) for doc, text in zip(pdf["id"], pdf["text"])
-                       for k, s in sorted(known.matches(text, similarity).items())]
-                if out:
-                    yield pd.DataFrame(out, columns=[id_col, item_col, "similarity"])
+                size = pdf["text"].map(lambda t: len(t) // 6 if t else 0).cumsum() // BATCH_WORDS
+                for _, part in pdf.groupby(size):
+                    ids = list(part["id"])
+                    out = [(ids[d], known.items[k][0], s) for d, k, s in known.matches(list(part["text"]), similarity)]
+                    if out:
+                        yield pd.DataFrame(out, columns=[id_col, item_col, "similarity"])
 
         return source.mapInPandas(run, schema)
 

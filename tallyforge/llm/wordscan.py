@@ -12,7 +12,7 @@ _STEP = 0x9E3779B97F4A7C15
 
 
 def _powers(base: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([1], np.full(_CHUNK + _LONG, base, np.uint64))).astype(np.uint64))
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(_CHUNK + _LONG, base, np.uint64))))
 
 
 _POW, _INVERSE = _powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))
