@@ -19,8 +19,8 @@ from tallyforge.session import cut
 #: Least similarity: one minus the edit distance by the item's length, both in characters of the normalised words.
 SIMILARITY = 0.8
 #: Walks; the recall of windows with 10 % edited words is measured in the tests.
-REPETITIONS = 5
-#: Steps of a walk that make a key.
+REPETITIONS = 4
+#: Steps of a walk that make a key; windows of up to 8 words, of which fewer lie in an item, take one less.
 SAMPLED = 4
 #: Least share of equal steps in the embeddings of a candidate's two windows, and of the item's words around them.
 AGREEMENT = 0.25
@@ -66,7 +66,7 @@ def walk(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
 def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, repetition: int) -> np.ndarray:
     """The key of the window of ``length`` words, none from ``ends`` on, at each of ``starts``."""
     rng = np.random.default_rng([repetition, length])
-    sampled = set(rng.choice(2 * length, min(SAMPLED, 2 * length), replace=False).tolist())
+    sampled = set(rng.choice(2 * length, min(SAMPLED - (length <= 8), 2 * length), replace=False).tolist())
     padded, key = np.append(hashes, np.uint64(0)), np.full(len(starts), length, np.uint64)
     for step, (at, inside) in enumerate(walk(hashes, starts, ends, length, repetition, max(sampled))):
         if step in sampled:

@@ -51,9 +51,23 @@ def op7_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark, sf_dir):
+    from tallyforge.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op8_language_id(spark, sf_dir):
+    from tallyforge.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 #: The key of the registered query and the pipeline; real data need one of their own.
 KEY = "registered-query"
 QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_benchmark_decontamination,
-                                  op4_virtual_slot_sharding, op5_best_fit_packing, op7_substring_dedup, op9_toxicity,
-                                  op10_simhash_near_dedup)}
+                                  op4_virtual_slot_sharding, op5_best_fit_packing, op6_exact_top_k, op7_substring_dedup,
+                                  op8_language_id, op9_toxicity, op10_simhash_near_dedup)}
 SQL: dict[str, str] = {}
