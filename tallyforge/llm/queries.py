@@ -65,9 +65,18 @@ def op8_language_id(spark, sf_dir):
     return langid.predict(docs, langid.train(docs))
 
 
+def op1_licence_scan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm import licences
+
+    files = licences.as_files(table(spark, sf_dir, "documents"))
+    return licences.scan(files, licence_file=F.col("speaks"))
+
+
 #: The key of the registered query and the pipeline; real data need one of their own.
 KEY = "registered-query"
-QUERIES = {f.__name__: f for f in (op2_pii_pseudonyms, op3_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii_pseudonyms, op3_benchmark_decontamination,
                                   op4_virtual_slot_sharding, op5_best_fit_packing, op6_exact_top_k, op7_substring_dedup,
                                   op8_language_id, op9_toxicity, op10_simhash_near_dedup)}
 SQL: dict[str, str] = {}
