@@ -1,8 +1,7 @@
 """Toxicity: a logistic classifier over words whose score must not move when identity terms are swapped.
 
-Corpus statistics (in how many toxic and clean documents a word or word beginning occurs) come from every labelled row of
-the training folds; the words with the clearest association become the features. The weights are fitted on a bounded
-sample of those rows. For each sampled text that names a group, a counterfactual text names another one instead, and the
+The classifier is fitted on a bounded sample, drawn by hash from all labelled ids of the training folds. In how many toxic
+and clean sampled documents a word or word beginning occurs decides which become features. For each sampled text that names a group, a counterfactual text names another one instead, and the
 squared difference of their scores is added to the loss, so that naming a group is not evidence.
 """
 
@@ -22,8 +21,8 @@ THRESHOLD = 0.7
 #: Words of this length or more also count by their beginning.
 PREFIX = 5
 FEATURES = 4096
-#: Labelled rows the weights are fitted on, at most about this many of each class.
-SAMPLE_ROWS = 8000
+#: Labelled ids of each class that the classifier is fitted on at most.
+SAMPLE_ROWS = 10_000
 #: Entries a partition counts before it hands them on.
 COUNTED = 500_000
 SWAP_PENALTY = 1.0
@@ -125,16 +124,16 @@ def fit(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           n_features: int = FEATURES, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from labelled rows outside the held-out fold.
+    """Learns from at most ``sample_rows`` labelled ids of each class outside the held-out fold.
 
     Null labels and unlabelled rows are not used; a document with several labels counts as toxic if one says so. Without
     a row of both classes the model scores every text with the share of toxic rows (0 without any).
     """
-    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
-        F.max(label_col).cast("int").alias("y"))
-    labelled = cut(
-        docs.filter(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-        .join(known, "_id").select("_id", "text", "y"), "labelled")
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(
+        F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
+    drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows) for y in (0, 1)]
+    drawn = cut(drawn[0].unionByName(drawn[1]), "drawn")  # at most 2 * sample_rows pairs of numbers, so it can be broadcast
+    labelled = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "_id"), "labelled")
     total = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     n, toxic = total["n"], total["toxic"]
     if not toxic or toxic == n:
@@ -146,20 +145,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = _counts(labelled).withColumn("z", z).filter("z >= 2").orderBy(F.desc("z"), "feature").limit(n_features)
     names = sorted({r["feature"] for r in best.select("feature").collect()} | set(SWAP))
     index = {f: i for i, f in enumerate(names)}
-    share = F.when(F.col("y") == 1, F.lit(sample_rows / toxic)).otherwise(F.lit(sample_rows / (n - toxic)))
-    drawn = F.pmod(F.xxhash64("_id", "text"), F.lit(1 << 40)) < share * float(1 << 40)
 
     def to_rows(batches):
         for pdf in batches:
             out = []
-            for text, y in zip(pdf["text"], pdf["y"]):
+            for h, text, y in zip(pdf["h"], pdf["text"], pdf["y"]):
                 other = swapped(text) if text else None
                 row = sorted(index[f] for f in features(text) if f in index)
-                out.append((int(y), row, None if other is None else sorted(index[f] for f in features(other) if f in index)))
-            yield pd.DataFrame(out, columns=["y", "row", "other"])
+                out.append((h, int(y), row, None if other is None else sorted(index[f] for f in features(other) if f in index)))
+            yield pd.DataFrame(out, columns=["h", "y", "row", "other"])
 
-    sample = labelled.filter(drawn).orderBy(F.xxhash64("_id", "text")).limit(2 * sample_rows).drop("_id").mapInPandas(
-        to_rows, "y int, row array<int>, other array<int>").collect()
+    sample = labelled.select(F.xxhash64("_id", "text").alias("h"), "text", "y").mapInPandas(
+        to_rows, "h long, y int, row array<int>, other array<int>").orderBy("h").limit(4 * sample_rows).collect()
     pairs = [(r["row"], r["other"]) for r in sample if r["other"] is not None]
     pairs += [([index[a]], [index[b]]) for a, b in SWAP.items()]  # a bare mention, for terms the sample lacks
     w, b = fit([r["row"] for r in sample], np.array([r["y"] for r in sample], float), pairs, len(names))
