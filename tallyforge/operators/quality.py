@@ -57,9 +57,10 @@ def key_differences(source: DataFrame, target: DataFrame, key: str) -> DataFrame
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """One hash per row in which NULL differs from every text."""
-    marked = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
-    return F.md5(F.concat_ws("|", *marked))
+    """One hash per row: every value after its length, so that no two rows write the same text; NULL differs from all."""
+    value = [F.col(c).cast("string") for c in columns]
+    marked = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("n")) for v in value]
+    return F.md5(F.concat(*marked))
 
 
 def changed_rows(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -19,8 +19,11 @@ def salted_join(
 
     Keys above ``hot_rows`` are split into ``salts`` parts; only for those keys
     is the other side copied, once per part. All other keys join as usual, in
-    the same shuffle.
+    the same shuffle. Right and full joins are refused: unmatched copies of
+    the other side would come out once per part.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a salted join keeps rows of the many side only, not {how}")
     hot = many.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(
         key, F.lit(True).alias("_hot"))
     is_hot = F.coalesce("_hot", F.lit(False))

@@ -14,7 +14,7 @@ from tallyforge.session import cut, spread
 # Jaccard threshold of 0.8 (bands x rows of the 128 permutations).
 REFUSALS = [r"I cannot", r"I'm sorry, but", r"As an AI", r"I don't have access", r"\[.*\]$"]
 MAX_TOTAL_TOKENS = 4096
-PERMUTATIONS, BANDS, ROWS = 128, 9, 13
+PERMUTATIONS, BANDS, ROWS = 128, 21, 6
 
 
 def to_instructions(conversations: DataFrame) -> DataFrame:
@@ -153,27 +153,23 @@ def stratified_split(df: DataFrame, id_column: str, stratum: str, test_size: flo
         id_column, stratum, F.when(F.col("_i") <= F.col("_n"), "validation").otherwise("train").alias("part"))
 
 
-def fixed_chunks(size: int = 500, overlap: int = 50):
-    """V7. Arrow UDF: a whole text to overlapping chunks that end at a space past 80 % of the size."""
+def fixed_chunks(c: Column, size: int = 500, overlap: int = 50) -> Column:
+    """V7. Array of overlapping pieces of at most ``size`` characters; a piece that the text goes on after ends at its last
+    space, if that lies beyond 80 % of the size."""
+    total = F.length(c)
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(total / (int(size * 0.8) - overlap)).cast("int")))
 
-    def chunk(s: str) -> list[str]:
-        out, start = [], 0
-        while start < len(s):
-            end = start + size
-            piece = s[start:end]
-            if end < len(s):
-                space = piece.rfind(" ")
-                if space > size * 0.8:
-                    piece, end = piece[:space], start + space
-            out.append(piece.strip())
-            start = end - overlap
-        return out
+    def step(acc: Column, _: Column) -> Column:
+        window = F.substring(c, acc["next"] + 1, F.lit(size))
+        space = F.instr(F.reverse(window), " ")
+        early = (acc["next"] + size < total) & (space > 0) & (size - space > size * 0.8)
+        length = F.when(early, size - space).otherwise(size)
+        piece = F.regexp_replace(F.substring(window, F.lit(1), length), r"^\s+|\s+$", "")
+        grown = F.struct((acc["next"] + length - overlap).alias("next"), F.concat(acc["pieces"], F.array(piece)).alias("pieces"))
+        return F.when(acc["next"] < total, grown).otherwise(acc)
 
-    @F.pandas_udf("array<string>")
-    def udf(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: None if s is None else chunk(s))
-
-    return udf
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("pieces"))
+    return F.aggregate(steps, start, step)["pieces"]
 
 
 def sentence_chunks(c: Column, per_chunk: int = 5, overlap: int = 1) -> Column:

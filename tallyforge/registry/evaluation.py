@@ -97,7 +97,7 @@ def register(reg: Registry):
         UNION ALL SELECT conv_id, turn, 1, 'user', instruction FROM {EXAMPLES}
         UNION ALL SELECT conv_id, turn, 2, 'assistant', output FROM {EXAMPLES}""")
     reg.add("V7_fixed_chunks", lambda s, d: spread(t.table(s, d, "documents").select("doc_id", "text")).select(
-        "doc_id", F.posexplode(pr.fixed_chunks()(F.col("text"))).alias("pos", "chunk")))
+        "doc_id", F.posexplode(pr.fixed_chunks(F.col("text"))).alias("pos", "chunk")))
     reg.add("V8_sentence_chunks", lambda s, d: spread(t.table(s, d, "documents").select("doc_id", "text")).select(
         "doc_id", F.inline(pr.sentence_chunks(F.col("text")))), r"""
         SELECT doc_id, array_to_string(s[i + 1:i + 5], ' ') AS text, CAST(i AS INTEGER) AS start_sentence,
