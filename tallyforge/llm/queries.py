@@ -71,7 +71,8 @@ def op1_licence_scan(spark, sf_dir):
     from tallyforge.llm import licences
 
     files = licences.as_files(table(spark, sf_dir, "documents"))
-    return licences.scan(files, licence_file=F.col("speaks"))
+    found = licences.scan(files, licence_file=F.col("speaks"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)\.txt$", 1).try_cast("long"))
 
 
 #: The key of the registered query and the pipeline; real data need one of their own.
