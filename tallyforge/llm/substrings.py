@@ -33,7 +33,7 @@ _IS_WORD = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 
 
 def _pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
 
 
 def _unpack(b: bytes):
