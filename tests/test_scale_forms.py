@@ -135,7 +135,7 @@ def test_exact_quantiles(spark):
 def test_chunks(spark):
     rng = random.Random(2)
     s = " ".join("x" * rng.randrange(1, 12) for _ in range(400))
-    got = spark.createDataFrame([(s,), ("",)], "t string").select(pr.fixed_chunks(100, 10)(F.col("t")).alias("c")).collect()
+    got = spark.createDataFrame([(s,), ("",)], "t string").select(pr.fixed_chunks(F.col("t"), 100, 10).alias("c")).collect()
     assert got[1].c == [] and all(len(c) <= 100 for c in got[0].c)
     assert got[0].c[0] == s[:100][: s[:100].rfind(" ")] if s[:100].rfind(" ") > 80 else s[:100]
     assert s.endswith(got[0].c[-1])
