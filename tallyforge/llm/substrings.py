@@ -2,8 +2,8 @@
 
 Texts are stored in blocks of normalised words. Consecutive windows with the same minimiser (the least hash of the
 ``GRAM``-word grams inside) travel as one packed string to the minimiser's bucket; a window's words decide its minimiser, so
-equal windows meet. A block sends equal strings once, with their number, so a passage that everyone shares reaches its
-bucket once per block. The bucket sorts the windows by hash, compares equal hashes by their words, and answers each block
+equal windows meet. A task gathers the strings of several blocks and sends equal ones once, with their places, so a passage
+that everyone shares reaches its bucket a few times per task, and the parts of a bucket stay long enough to compress. The bucket sorts the windows by hash, compares equal hashes by their words, and answers each block
 which windows of which strings are repeated; the block then marks and removes the covered words.
 """
 
@@ -27,6 +27,9 @@ GRAM = 8
 #: Bytes of text in a block (a longer text is a block of its own), and about the bytes of input per bucket.
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 8_000_000
+#: Bytes of strings that a task gathers before it sends them, and the bytes each string and place counts besides its text.
+SEND_BYTES = 64_000_000
+STRING_COST = 150
 #: Windows of one string at most.
 _RUN = 64
 _IS_WORD = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
@@ -102,20 +105,39 @@ class Runs:
 
 
 def _send(window: int, buckets: int):
+    def rows(parts: dict[int, dict[bytes, list[int]]]) -> pd.DataFrame:
+        out = []
+        for b, found in parts.items():
+            places = list(found.values())
+            sizes = np.array([len(x) // 3 for x in places], np.int64)
+            out.append((b, _pack((b"\n".join(found), sizes, np.array([v for x in places for v in x], np.int64).reshape(-1, 3)))))
+        return pd.DataFrame(out, columns=["bucket", "data"])
+
     def run(batches):
+        parts: dict[int, dict[bytes, list[int]]] = {}
+        held = 0
         for pdf in batches:
-            for block, data in zip(pdf["block"], pdf["data"]):
+            for block, data in zip(pdf["block"].tolist(), pdf["data"]):
                 runs = Runs(_unpack(data)[1], window)
                 if not len(runs.firsts):
                     continue
                 bucket = (wordscan.mix(runs.minimiser, 77) % np.uint64(buckets)).astype(np.int64).tolist()
-                parts: dict[int, dict[bytes, list[int]]] = {}
                 for (first, string), b in zip(runs.strings(), bucket):
-                    seen = parts.setdefault(b, {}).setdefault(string, [first, 0])
-                    seen[1] += 1
-                rows = [(b, block, _pack((b"\n".join(found), np.array(list(found.values()), np.int64))))
-                        for b, found in parts.items()]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "data"])
+                    found = parts.setdefault(b, {})
+                    seen = found.get(string)
+                    if seen is None:
+                        found[string] = [block, first, 1]
+                        held += len(string) + STRING_COST
+                    elif seen[-3] == block:
+                        seen[-1] += 1
+                    else:
+                        seen += [block, first, 1]
+                        held += STRING_COST
+                if held > SEND_BYTES:
+                    yield rows(parts)
+                    parts, held = {}, 0
+        if parts:
+            yield rows(parts)
 
     return run
 
@@ -126,8 +148,9 @@ def _count(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(d) for d in pdf["data"]]
         data = b"\n".join(p[0] for p in parts)
-        info = np.concatenate([p[1] for p in parts])
-        block = np.repeat(pdf["block"].to_numpy(), [len(p[1]) for p in parts])
+        upto = np.concatenate(([0], np.cumsum(np.concatenate([p[1] for p in parts]))))
+        places = np.concatenate([p[2] for p in parts])  # block, first window and number, for each string in turn
+        total = np.add.reduceat(places[:, 2], upto[:-1])
         del parts
         starts, ends = wordscan.spans(data, _IS_WORD)
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
@@ -137,7 +160,7 @@ def _count(window: int):
         order = valid[np.argsort(hashes[valid], kind="stable")]
         same = np.concatenate(([False], hashes[order][1:] == hashes[order][:-1], [False]))
         begins = np.flatnonzero(~same[:-1])
-        times = np.add.reduceat(info[string[order], 1], begins) if len(order) else np.zeros(0, np.int64)
+        times = np.add.reduceat(total[string[order]], begins) if len(order) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate((begins, [len(order)])))
         repeated = np.zeros(len(starts), bool)
         words = lambda w: data[starts[w]:ends[w + window - 1]]
@@ -149,15 +172,16 @@ def _count(window: int):
                 continue
             count: dict[bytes, int] = {}  # different windows with one hash
             for w in members.tolist():
-                count[words(w)] = count.get(words(w), 0) + int(info[string[w], 1])
+                count[words(w)] = count.get(words(w), 0) + int(total[string[w]])
             for w in members.tolist():
                 repeated[w] = count[words(w)] > 1
         flagged = np.unique(string[repeated])
         answers: dict[int, list] = {}
-        first_word = np.searchsorted(string, np.arange(len(info)))
+        first_word = np.searchsorted(string, np.arange(len(total) + 1))
         for s in flagged.tolist():
-            lo, hi = first_word[s], first_word[s + 1] if s + 1 < len(info) else len(starts)
-            answers.setdefault(int(block[s]), []).append((int(info[s, 0]), np.packbits(repeated[lo:hi - window + 1]).tobytes()))
+            bits = np.packbits(repeated[first_word[s]:first_word[s + 1] - window + 1]).tobytes()
+            for block, first, _ in places[upto[s]:upto[s + 1]].tolist():
+                answers.setdefault(block, []).append((first, bits))
         return pd.DataFrame([(b, _pack(a)) for b, a in answers.items()], columns=["block", "answer"])
 
     return run
@@ -207,7 +231,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = cut(_blocks(docs, id_col, text_col, block_bytes), "blocks")
     total = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = 8 + int(total // bucket_bytes)
-    sent = blocks.select("block", "data").mapInPandas(_send(window, buckets), "bucket long, block long, data binary")
+    sent = blocks.select("block", "data").mapInPandas(_send(window, buckets), "bucket long, data binary")
     answers = sent.groupBy("bucket").applyInPandas(_count(window), "block long, answer binary")
     by_block = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))
     joined = blocks.select("block", "data").join(by_block, "block", "left").select("data", "answers")
