@@ -177,9 +177,9 @@ def tax_line_audit(matches: DataFrame, bank: DataFrame, ledger: DataFrame) -> Da
 
 def tax_line_items(
     matches: DataFrame, bank: DataFrame, ledger: DataFrame, fee_percent: float = 2.0,
-    gst_percent: float = 18.0, limit: int | None = 20,
+    gst_percent: float = 18.0, limit: int | None = None,
 ) -> DataFrame:
-    """The latest audit rows (all with ``limit=None``) with fee and GST at the given rates."""
+    """All audit rows (only the latest with a ``limit``) with fee and GST at the given rates."""
     rows = audited(matches, bank, ledger)
     if limit is not None:
         rows = rows.orderBy(
@@ -221,7 +221,8 @@ def open_orders(
     """C2 per order: unmatched orders, whether overdue, and whether at risk."""
     flagged = exceptions.select(F.col("record_id").alias("order_id")).distinct().withColumn(
         "flagged", F.lit(True))
-    due = F.coalesce("expected_settlement_date", "invoice_date")
+    # One column for the whole ledger; an order with a blank date is not overdue.
+    due = F.col("expected_settlement_date" if "expected_settlement_date" in ledger.columns else "invoice_date")
     late = F.coalesce(due < _date(as_of), F.lit(False))
     return (
         ledger.join(matches.select("order_id").distinct(), "order_id", "left_anti")
@@ -303,15 +304,15 @@ def collection_weights(matches: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def confirmed_cash(
-    matches: DataFrame, bank: DataFrame, ledger: DataFrame, limit: int = 20
+    matches: DataFrame, bank: DataFrame, ledger: DataFrame, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The latest credits, and their sum in paise (all bank rows when that is zero)."""
-    latest = (
-        audited(matches, bank, ledger)
-        .orderBy(F.desc("date"), F.desc("settlement_id"), F.desc("order_id"))
-        .limit(limit)
-        .select("order_id", "settlement_id", "customer_name", "date", "net_amount",
-                money.inr(F.col("net_amount")).alias("amount_inr"), F.lit("CONFIRMED_CREDIT").alias("status")))
+    """All credits (only the latest with a ``limit``), and their sum in paise (all bank rows when that is zero)."""
+    rows = audited(matches, bank, ledger)
+    if limit is not None:
+        rows = rows.orderBy(F.desc("date"), F.desc("settlement_id"), F.desc("order_id")).limit(limit)
+    latest = rows.select(
+        "order_id", "settlement_id", "customer_name", "date", "net_amount",
+        money.inr(F.col("net_amount")).alias("amount_inr"), F.lit("CONFIRMED_CREDIT").alias("status"))
     recent = latest.agg(F.coalesce(F.sum("net_amount"), F.lit(0)).alias("recent"))
     everything = bank.agg(F.coalesce(F.sum("net_amount"), F.lit(0)).alias("everything"))
     total = recent.join(everything, F.lit(True)).select(
@@ -344,9 +345,9 @@ def inflow_orders(
 
 def cash_forecast(
     matches: DataFrame, bank: DataFrame, ledger: DataFrame, exceptions: DataFrame, as_of: dt.date | str,
-    latest: int = 20,
+    latest: int | None = None,
 ) -> DataFrame:
-    """C6-C9 as one row."""
+    """C6-C9 as one row; the confirmed cash is that of all credits, or of the ``latest`` ones."""
     orders = inflow_orders(matches, bank, ledger, exceptions, as_of)
     p, healthy = F.col("inr_paise"), ~F.col("is_risk")
     within = lambda days: F.coalesce(F.sum(F.when(healthy & (F.col("days_ahead") <= days), p)), F.lit(0))
@@ -510,22 +511,21 @@ def lookups(
     return found.join(first, ["question_id", "turn"]).select("question_id", "source", "record_id")
 
 
-def general_summary(
-    bank: DataFrame, ledger: DataFrame, matches: DataFrame, exceptions: DataFrame, listed: int = 50
-) -> DataFrame:
-    """L2: one row of counts with the first exceptions by (priority, category) attached.
-
-    The full list is ``summary_exceptions``; a single row can only carry a part.
-    """
+def general_summary(bank: DataFrame, ledger: DataFrame, matches: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """L2: one row of counts."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
     row = (
         count(bank, "total_bank_settlements").join(count(ledger, "total_internal_orders"), F.lit(True))
         .join(count(matches, "reconciled_matches_count"), F.lit(True))
         .join(count(exceptions, "unresolved_exceptions_count"), F.lit(True)))
-    head = summary_exceptions(exceptions).limit(listed).agg(
-        F.sort_array(F.collect_list(F.struct("priority", "category", "record_id"))).alias("active_exceptions"))
     m, t = F.col("reconciled_matches_count"), F.col("total_bank_settlements")
-    return row.withColumn("match_rate_percent", F.bround(_ratio(m, t, 0.0) * 100, 2)).join(head, F.lit(True))
+    return row.withColumn("match_rate_percent", F.bround(_ratio(m, t, 0.0) * 100, 2))
+
+
+def summary_listing(summary: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """L2: every exception beside the counts of ``general_summary``; no exceptions give no rows."""
+    listed = exceptions.select("record_id", "priority", "category")
+    return listed.join(F.broadcast(summary), F.lit(True))  # the summary is one row
 
 
 def summary_exceptions(exceptions: DataFrame) -> DataFrame:

@@ -360,8 +360,7 @@ CTES.update({
                    count(*) FILTER (NOT is_risk) AS healthy, count(*) FILTER (is_risk) AS risky
             FROM inflow), (
             SELECT CAST(CASE WHEN recent <> 0 THEN recent ELSE everything END AS BIGINT) AS confirmed FROM
-              (SELECT sum(net_amount) AS recent FROM (SELECT net_amount FROM audited
-                 ORDER BY date DESC, settlement_id DESC, order_id DESC LIMIT 20)),
+              (SELECT sum(net_amount) AS recent FROM audited),
               (SELECT sum(net_amount) AS everything FROM bank)), (
             SELECT greatest(CAST(0.70 AS DOUBLE), least(CAST(0.95 AS DOUBLE), round_even(
                    (SELECT count(*) FROM matches) / greatest(1, (SELECT count(*) FROM ledger)), 3))) AS w))"""),

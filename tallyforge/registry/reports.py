@@ -140,8 +140,7 @@ def register(reg: Registry):
         CAST(round_even(amount * CAST(18.0 AS DOUBLE) / 100, 0) AS BIGINT) / 100.0 AS gst_amount_inr,
         CAST(0.0 AS DOUBLE) AS tds_withheld_inr, net_amount / 100.0 AS net_bank_credit_inr,
         'CLEAN_TAX_VERIFIED' AS audit_status FROM audited"""
-    reg.add("T2_tax_line_items", lambda s, d: an.tax_line_items(*_mbl(s, d)), with_ctes(
-        items + " ORDER BY phase DESC, date DESC, settlement_id DESC, order_id DESC LIMIT 20", "audited"))
+    reg.add("T2_tax_line_items", lambda s, d: an.tax_line_items(*_mbl(s, d)), with_ctes(items, "audited"))
     reg.add("T2_tax_line_items_all", lambda s, d: an.tax_line_items(*_mbl(s, d), limit=None),
             with_ctes(items, "audited"))
     reg.add("T3_verified_tax_percent", lambda s, d: an.verified_tax_percent(*_mbl(s, d)), with_ctes(f"""
@@ -182,7 +181,7 @@ def register(reg: Registry):
     reg.add("C6_confirmed_cash", lambda s, d: an.confirmed_cash(*_mbl(s, d))[0], with_ctes("""
         SELECT order_id, settlement_id, customer_name, CAST(date AS VARCHAR) AS date, net_amount / 100.0 AS amount_inr,
                'CONFIRMED_CREDIT' AS status
-        FROM audited ORDER BY audited.date DESC, settlement_id DESC, order_id DESC LIMIT 20""", "audited"))
+        FROM audited""", "audited"))
     reg.add("C7_inflow_orders", lambda s, d: an.inflow_orders(*_mblx(s, d), views.AS_OF).select(
         "order_id", "inr_paise", "due_date", "days_ahead", "bucket", "risk_reason", "is_risk"), with_ctes("""
         SELECT order_id, inr_paise, CAST(due_date AS VARCHAR) AS due_date, days_ahead, bucket, risk_reason, is_risk
@@ -329,21 +328,18 @@ def register(reg: Registry):
     reg.add("P3_P5_point_lookups", looked_up, base + "," + found_sql + """
         SELECT question_id, source, record_id FROM hits JOIN (
             SELECT question_id, min(turn) AS turn FROM hits GROUP BY 1) USING (question_id, turn)""")
-    reg.add(
-        "L2_general_summary",
-        lambda s, d: an.general_summary(
-            t.bank(s, d), t.ledger(s, d), views.matches(s, d), views.exceptions(s, d)).select(
-            "total_bank_settlements", "total_internal_orders", "reconciled_matches_count",
-            "unresolved_exceptions_count", "match_rate_percent",
-            F.array_join(F.transform("active_exceptions", lambda x: x["record_id"]), ",").alias("first_records")),
-        with_ctes("""SELECT *, round_even(reconciled_matches_count / total_bank_settlements * 100, 2)
+    counts = lambda s, d: an.general_summary(
+        t.bank(s, d), t.ledger(s, d), views.matches(s, d), views.exceptions(s, d))
+    counts_sql = """SELECT *, round_even(reconciled_matches_count / total_bank_settlements * 100, 2)
             AS match_rate_percent FROM (SELECT count(*) AS total_bank_settlements FROM bank),
             (SELECT count(*) AS total_internal_orders FROM ledger),
             (SELECT count(*) AS reconciled_matches_count FROM matches),
-            (SELECT count(*) AS unresolved_exceptions_count FROM exceptions),
-            (SELECT string_agg(record_id, ',' ORDER BY priority, category, record_id) AS first_records FROM (
-                SELECT * FROM exceptions ORDER BY priority, category, record_id LIMIT 50))""",
-            "bank", "ledger", "matches", "exceptions"))
+            (SELECT count(*) AS unresolved_exceptions_count FROM exceptions)"""
+    reg.add("L2_general_summary", counts, with_ctes(counts_sql, "bank", "ledger", "matches", "exceptions"))
+    reg.add(
+        "L2_summary_listing", lambda s, d: an.summary_listing(counts(s, d), views.exceptions(s, d)),
+        with_ctes(f"SELECT c.*, record_id, priority, category FROM exceptions, ({counts_sql}) c",
+                  "bank", "ledger", "matches", "exceptions"))
 
     def answered(s, d):
         b, l, m, x = t.bank(s, d), t.ledger(s, d), views.matches(s, d), views.exceptions(s, d)

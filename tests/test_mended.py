@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import quality, skewjoin
-from tallyforge.plans import preparation
+from tallyforge.plans import analytics, preparation
 
 
 def test_row_hash_tells_rows_apart(spark):
@@ -34,3 +34,15 @@ def test_fixed_chunks(spark):
             assert piece == part[:length].strip()
             at += length - 50
         assert at >= len(text)
+
+
+def test_blank_due_dates_are_not_overdue(spark):
+    ledger = spark.createDataFrame(
+        [("a", "2026-01-01", None, 100, "x"), ("b", "2026-01-01", "2026-01-05", 100, "x")],
+        "order_id string, invoice_date string, expected_settlement_date string, expected_amount long, customer_name string",
+    ).withColumns({c: F.col(c).cast("date") for c in ("invoice_date", "expected_settlement_date")})
+    matches = spark.createDataFrame([], "order_id string")
+    flagged = spark.createDataFrame([], "record_id string")
+    late = lambda df: {r["order_id"]: r["is_overdue"] for r in analytics.open_orders(matches, df, flagged, "2026-02-01").collect()}
+    assert late(ledger) == {"a": False, "b": True}
+    assert late(ledger.drop("expected_settlement_date")) == {"a": True, "b": True}
