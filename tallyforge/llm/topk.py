@@ -119,10 +119,9 @@ def _search(pairs: DataFrame, index: DataFrame, queries: DataFrame, width: int,
             if out:
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    met = pairs.join(queries, "q_block").groupBy("block", F.pmod(F.xxhash64("q_block"), F.lit(1 << 20)).alias("h"))
-    met = met.agg(F.first("q_ids").alias("q_ids"), F.first("q_vectors").alias("q_vectors"), F.first("floors").alias("floors"))
-    turn = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("h")) - 1) / MEETING)
-    met = met.withColumn("turn", turn).groupBy("block", "turn").agg(F.collect_list(F.struct("q_ids", "q_vectors", "floors")).alias("met"))
+    order = Window.partitionBy("block").orderBy(F.xxhash64("q_block"), "q_block")  # the pairs are distinct; the hash only deals out turns
+    met = pairs.withColumn("turn", F.floor((F.row_number().over(order) - 1) / MEETING)).join(queries, "q_block")
+    met = met.groupBy("block", "turn").agg(F.collect_list(F.struct("q_ids", "q_vectors", "floors")).alias("met"))
     return met.join(index.select("block", "ids", "vectors"), "block").select("ids", "vectors", "met").mapInPandas(
         run, "query_id long, vec_id long, score long")
 

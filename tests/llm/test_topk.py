@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import topk
 
@@ -37,3 +38,16 @@ def test_few_and_none(spark):
     assert got == model([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (100, [3.0, -1.0])], lambda i: i % 100 == 0)
     assert topk.search(df.limit(0), df.limit(0)).count() == 0 and topk.search(df, df.limit(0)).count() == 0
     assert topk.search(df.filter("vec_id = 0"), df.filter("vec_id = 0")).count() == 0
+
+
+def test_query_blocks_of_one_hash_all_search(spark):
+    """Two query blocks whose hashes agree in 20 bits meet the same annulus: both get their candidates."""
+    numbers = spark.range(20000).groupBy(F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h")).agg(F.sort_array(F.collect_list("id")).alias("b"))
+    one, other = numbers.filter("size(b) > 1").orderBy("h").first()["b"][:2]
+    pack = lambda ids, v: [bytearray(np.array(ids, np.int64).tobytes()), bytearray(np.array(v, float).tobytes())]
+    index = spark.createDataFrame([[7] + pack([1, 2], [[1, 0], [0, 1]])], "block long, ids binary, vectors binary")
+    queries = spark.createDataFrame([[one] + pack([10], [[3, 1]]) + [None], [other] + pack([20], [[1, 5]]) + [None]],
+                                    "q_block long, q_ids binary, q_vectors binary, floors binary")
+    pairs = queries.select("q_block").withColumn("block", F.lit(7).cast("long"))
+    found = topk._search(pairs, index, queries, 2, 10, True)
+    assert sorted(map(tuple, found.collect())) == [(10, 1, 3), (10, 2, 1), (20, 1, 1), (20, 2, 5)]
