@@ -41,3 +41,29 @@ def test_equals_model(spark, window, block):
 
 def test_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_minimiser_is_dealt_out(spark, monkeypatch, tmp_path):
+    """One line of 20 words in other surroundings in every document, some of them whole copies: no group gets all of it."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    line, passage, folder, count = text(20), text(45), str(tmp_path), substrings._count
+
+    def spied(window):
+        def run(pdf):
+            parts = [substrings._unpack(d) for d in pdf["data"]]
+            with open(f"{folder}/{pdf['bucket'].iloc[0]}", "w") as file:
+                file.write(str(sum(len(p[0]) for p in parts)))
+            return count(window)(pdf)
+
+        return run
+
+    monkeypatch.setattr(substrings, "_count", spied)
+    monkeypatch.setattr(substrings, "HOT_RUNS", 50, raising=False)
+    rows = [(i, f"{text(40)} {line} {text(40)}") for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)] + [(2000 + i, f"{text(9)} {passage} {text(9)}") for i in range(200)]
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long").repartition(3)
+    got = substrings.remove_repeats(df, block_bytes=20000, bucket_bytes=4000).collect()
+    assert sorted(map(tuple, got), key=repr) == model(rows, 35)
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert max(sizes) < 400 * len(line) / 2
