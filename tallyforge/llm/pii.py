@@ -4,7 +4,8 @@ A value is cut into two halves; eight times in turn one half is shifted, each ch
 case, upper case), by a keyed digest of the other half. That is a permutation of all values of the same format, so equal
 values get equal pseudonyms in every document and different values different ones. Values with check rules stay valid:
 check digits are computed anew, dates move within a calendar cycle, address octets within 0 to 255, and formats that rule
-out some digits are walked on until the value is allowed.
+out some digits are walked on until the value is allowed. Cards are looked for among the whole digit groups of a run of
+digits, so that a number beside a card does not hide it.
 """
 
 from __future__ import annotations
@@ -21,13 +22,33 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-
 SECRET = r"(?<![A-Za-z0-9_])(?i:password|passwd|token|secret|api_key)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,}+\"?"
 ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# Lengths by country, for IBANs printed in groups of four.
+_IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+                 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR",
+                 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA", 30: "KW MU", 31: "MT"}
+IBAN_SPACED = r"(?<![A-Za-z0-9])(?:" + "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + f" [A-Z0-9]{{{n % 4}}}" * (n % 4 > 0)
+    for n, c in _IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
 PHONE = r"(?<![A-Za-z0-9])\+1 ?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
+# Other country codes; national digits are counted where their number is fixed, so that a number behind stays out.
+_COUNTRY = r"(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+_NATIONAL = {"(?:27|31|33|34|41|48|61)": "9", "(?:7|44|52|90|91)": "10", "86": "11", _COUNTRY: "6,11"}
+PHONE_ABROAD = r"(?<![A-Za-z0-9])\+(?:" + "|".join(
+    c + r"(?: ?\(0\))?(?:[ .-]?[0-9]){" + n + r"}(?![0-9])" for c, n in _NATIONAL.items()) + ")"
+PHONE_LOCAL = r"(?<![A-Za-z0-9.+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-KINDS = {"email": EMAIL, "secret": SECRET, "access_key": ACCESS_KEY, "iban": IBAN, "phone": PHONE, "address": ADDRESS,
-         "date": DATE, "ssn": SSN, "card": CARD}
+# Dates of other forms, by the name of their kind: the pattern, and the forms that are tried in turn.
+DATES = {"date_slashes": (r"(?<![0-9/])[0-9]{4}/[0-9]{2}/[0-9]{2}(?![0-9/])", ["yyyy/MM/dd"]),
+         "date_points": (r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])", ["dd.MM.yyyy"]),
+         "date_day_first": (r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])", ["dd/MM/yyyy", "MM/dd/yyyy"])}
+# A run of digit groups up to a value of another kind; the cards are whole groups of it.
+CARD = (r"(?<![0-9])(?=(?:[ -]?[0-9]){13})[0-9]++(?:[ -](?!" + "|".join([EMAIL, ADDRESS, DATE, SSN, PHONE_LOCAL, *(p for p, _ in DATES.values())])
+        + r")[0-9]++)*+")
+KINDS = {"email": EMAIL, "secret": SECRET, "access_key": ACCESS_KEY, "iban": IBAN, "iban_spaced": IBAN_SPACED, "phone": PHONE,
+         "phone_abroad": PHONE_ABROAD, "phone_local": PHONE_LOCAL, "address": ADDRESS, "date": DATE,
+         **{kind: p for kind, (p, _) in DATES.items()}, "ssn": SSN, "card": CARD}
 PATTERN = "|".join(KINDS.values())
 
 
@@ -101,9 +122,45 @@ def _before_last(s: Column) -> Column:
     return F.substring(s, F.lit(1), F.length(s) - 1)
 
 
+#: Issuers and their usual lengths, then other lengths of known issuers; what else passes the check comes last.
+_USUAL = r"^(?:4[0-9]{15}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|6[0-9]{15}|3[47][0-9]{13}|35[0-9]{14}|3[068][0-9]{12})$"
+_KNOWN = r"^(?:4(?:[0-9]{12}|[0-9]{18})|[56][0-9]{11,18}|3[068][0-9]{14,17})$"
+
+
+def _cards(m: Column) -> Column:
+    """The cards in a run of digit groups, as structs (i, k): k whole groups after the first i.
+
+    13 to 19 digits that pass the Luhn check; groups of fewer than three digits count only if all the run is the card.
+    Of overlapping ones the more usual form, the longer, the earlier is taken.
+    """
+    tokens = F.split(m, "[ -]")
+    n = F.size(tokens)
+    joined = lambda i, k: F.array_join(F.slice(tokens, i + 1, k), "")
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: F.struct(i.alias("i"), k.alias("k"), joined(i, k).alias("d")))))
+    tidy = lambda c: (c["k"] == n) | F.forall(F.slice(tokens, c["i"] + 1, c["k"]), lambda t: F.length(t) >= 3)
+    valid = F.filter(spans, lambda c: F.when(F.length(c["d"]).between(13, 19), F.when(tidy(c), luhn_digit(_before_last(c["d"])) == F.substring(
+        c["d"], -1, 1)).otherwise(False)).otherwise(False))
+    order = F.array_sort(F.transform(valid, lambda c: F.struct(
+        F.when(c["d"].rlike(_USUAL), 1).when(c["d"].rlike(_KNOWN), 2).otherwise(3).alias("rank"), (-F.length(c["d"])).alias("less"), c["i"].alias("i"),
+        c["k"].alias("k"))))
+    none = F.array().cast("array<struct<i:int,k:int>>")
+    return F.aggregate(order, none, lambda acc, c: F.when(
+        F.exists(acc, lambda a: (a["i"] < c["i"] + c["k"]) & (c["i"] < a["i"] + a["k"])), acc).otherwise(
+        F.concat(acc, F.array(F.struct(c["i"].alias("i"), c["k"].alias("k"))))))
+
+
 def _card(m: Column, key: str) -> Column:
-    body = F.concat(F.substring(m, 1, 1), permuted(F.substring(m, F.lit(2), F.length(m) - 2), key, "card"))
-    return F.when(luhn_digit(_before_last(m)) == F.substring(m, -1, 1), F.concat(body, luhn_digit(body))).otherwise(m)
+    tokens = F.split(m, "[ -]")
+
+    def replaced(acc: Column, c: Column) -> Column:
+        before = F.when(c["i"] > 0, F.length(F.array_join(F.slice(tokens, F.lit(1), c["i"]), " ")) + 1).otherwise(0)
+        size = F.length(F.array_join(F.slice(tokens, c["i"] + 1, c["k"]), " "))
+        one = F.substring(m, before + 1, size)
+        body = F.concat(F.substring(one, 1, 1), permuted(F.substring(one, F.lit(2), F.length(one) - 2), key, "card"))
+        return F.concat(F.substring(acc, F.lit(1), before), body, luhn_digit(body), F.substring(acc, before + size + 1, F.length(acc)))
+
+    return F.aggregate(_cards(m), m, replaced)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -113,6 +170,10 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(valid, F.concat(country, iban_digits(country, new), new)).otherwise(m)
 
 
+def _iban_spaced(m: Column, key: str) -> Column:
+    return F.regexp_replace(_iban(F.regexp_replace(m, " ", ""), key), "(.{4})(?=.)", "$1 ")
+
+
 def _address(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     pair = lambda i: F.slice(octets, i, 2)
@@ -126,14 +187,24 @@ def _address(m: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x <= 255), new).otherwise(m)
 
 
-def _date(m: Column, key: str) -> Column:
-    days = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit(_FIRST_DAY).cast("date"))
+def _date(m: Column, key: str, form: str = "yyyy-MM-dd") -> Column:
+    days = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(_FIRST_DAY).cast("date"))
     inside = days.between(0, _DAYS[0] * _DAYS[1] - 1)
     size = lambda k: F.when(k % 2 == 1, _DAYS[0]).otherwise(_DAYS[1])
     halves = _feistel(F.floor(days / _DAYS[1]).cast("long"), (days % _DAYS[1]).cast("long"),
                       lambda half, other, k: (half + _number(key, "date", k, other)) % size(k))
     moved = F.date_add(F.lit(_FIRST_DAY).cast("date"), (halves["l"] * _DAYS[1] + halves["r"]).cast("int"))
-    return F.when(inside, F.date_format(moved, "yyyy-MM-dd")).otherwise(m)
+    return F.when(inside, F.date_format(moved, form)).otherwise(m)
+
+
+def _date_of(m: Column, key: str, forms: list[str]) -> Column:
+    """By the first form that the date is valid in; a date of a later form stays one that is invalid in the first."""
+    if len(forms) == 1:
+        return _date(m, key, forms[0])
+    first = lambda x: F.try_to_timestamp(x, F.lit(forms[0])).isNotNull()
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), _date(m, key, forms[1]),
+                         lambda acc, _: F.when(first(acc), _date(acc, key, forms[1])).otherwise(acc))
+    return F.when(first(m), _date(m, key, forms[0])).otherwise(walked)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -150,6 +221,12 @@ def _phone(m: Column, key: str) -> Column:
         F.substring(m, F.lit(3), F.length(m)), key, "phone", r" ?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}"))
 
 
+def _phone_abroad(m: Column, key: str) -> Column:
+    """The country code and a trunk 0 in brackets stay."""
+    code = F.regexp_extract(m, r"^\+" + _COUNTRY + r"(?: ?\(0\))?", 0)
+    return F.concat(code, permuted(F.substring(m, F.length(code) + 1, F.length(m)), key, "phone"))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found value; a value that fails its check (or a date beyond 1800 to 2199) stays as it is."""
     whole = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
@@ -157,9 +234,15 @@ def pseudonym(m: Column, key: str) -> Column:
             .when(whole("secret"), _secret(m, key))
             .when(whole("access_key"), F.concat(F.substring(m, 1, 4), permuted(F.substring(m, F.lit(5), F.length(m)), key, "access_key")))
             .when(whole("iban"), _iban(m, key))
+            .when(whole("iban_spaced"), _iban_spaced(m, key))
             .when(whole("phone"), _phone(m, key))
+            .when(whole("phone_abroad"), _phone_abroad(m, key))
+            .when(whole("phone_local"), _walked(m, key, "phone", PHONE_LOCAL))
             .when(whole("address"), _address(m, key))
             .when(whole("date"), _date(m, key))
+            .when(whole("date_slashes"), _date_of(m, key, DATES["date_slashes"][1]))
+            .when(whole("date_points"), _date_of(m, key, DATES["date_points"][1]))
+            .when(whole("date_day_first"), _date_of(m, key, DATES["date_day_first"][1]))
             .when(whole("ssn"), _walked(m, key, "ssn", SSN))
             .otherwise(_card(m, key)))
 
@@ -181,6 +264,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     new = F.when(F.col("_pairs").isNotNull(), F.array_join(glue, "")).otherwise(text).alias(text_col)
     out = [new if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
     if count_col:
-        changed = F.size(F.filter(F.col("_pairs"), lambda p: p["old"] != p["new"]))
+        times = lambda p: F.when(p["old"].rlike("^[0-9][0-9 -]{12,}$"), F.size(_cards(p["old"]))).otherwise(1)
+        changed = F.aggregate(F.filter(F.col("_pairs"), lambda p: p["old"] != p["new"]), F.lit(0), lambda a, p: a + times(p))
         out.append(F.coalesce(F.when(F.col("_pairs").isNotNull(), changed), F.lit(0)).alias(count_col))
     return step.select(*out)

@@ -63,3 +63,33 @@ def test_native_and_empty(spark):
     out = pii.pseudonymise(docs, "k")
     assert out.columns == ["text", "doc_id"] and out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cards_beside_other_digits(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"card {spaced} 12/27", f"{card} 123", f"12 {card}", f"{spaced} 5500 0000 0000 0004", f"{card} 2024-02-29", f"{card} 123-45-6789",
+             f"id 1234 {spaced} 9876 5432", f"{card} 10.1.2.3", card, spaced, "3 14 15 92 65 35 89 79 32", "41111111111111111234567"]
+    got, n = run(spark, texts)
+    assert n == [1, 1, 1, 2, 2, 2, 1, 2, 1, 1, 0, 0] and got[10:] == texts[10:]
+    new, new_spaced = got[8], got[9]
+    assert new != card and luhn(new) and luhn(new_spaced) and new_spaced != spaced
+    assert got[0] == f"card {new_spaced} 12/27" and got[1] == f"{new} 123" and got[2] == f"12 {new}"
+    assert got[3].startswith(new_spaced + " ") and luhn(got[3][20:]) and got[3][20:] != texts[3][20:]
+    assert got[6] == f"id 1234 {new_spaced} 9876 5432"
+    assert all(got[k].startswith(new + " ") and got[k] != f"{new}{texts[k][16:]}" for k in (4, 5, 7))
+
+
+def test_other_phones_ibans_and_dates(spark):
+    texts = ["+44 20 7946 0958 12", "+49 30 901820, 7", "+33 1 42 68 53 00 2024-02-29", "+44 (0)20 7946 0958", "(988) 555-2485 x 12",
+             "988-555-2485", "GB82 WEST 1234 5698 7654 32 12", "GB82WEST12345698765432", "ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111",
+             "GB82 WEST 1234 5698 7654 33", "on 2024/02/29 12", "on 29.02.2024.", "on 29/02/2024 4", "on 02/29/2024 4", "30.02.2024 or 13/13/2024"]
+    got, n = run(spark, texts)
+    assert n == [1, 1, 2, 1, 1, 1, 1, 1, 2, 0, 1, 1, 1, 1, 0]
+    forms = [r"\+44 \d\d \d{4} \d{4} 12", r"\+49 \d\d \d{6}, 7", r"\+33 \d( \d\d){4} \d{4}-\d\d-\d\d", r"\+44 \(0\)\d\d \d{4} \d{4}",
+             r"\([2-9]\d\d\) [2-9]\d\d-\d{4} x 12", r"[2-9]\d\d-[2-9]\d\d-\d{4}", r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d 12", r"GB\d\d[A-Z]{4}\d{14}",
+             r"ES\d\d( \d{4}){9}", None, r"on \d{4}/\d\d/\d\d 12", r"on \d\d\.\d\d\.\d{4}\.", r"on \d\d/\d\d/\d{4} 4", r"on \d\d/(1[3-9]|[23]\d)/\d{4} 4", None]
+    for old, new, form in zip(texts, got, forms):
+        assert re.fullmatch(form, new) and old != new if form else old == new
+    assert got[6].replace(" ", "")[:22] == got[7] and luhn(got[8][30:])
+    days = spark.range(800).select(F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), F.col("id").cast("int")), "MM/dd/yyyy").alias("v"))
+    assert days.select(pii.pseudonym(F.col("v"), "k").alias("p")).distinct().count() == 800
