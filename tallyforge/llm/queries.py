@@ -75,9 +75,16 @@ def op1_licence_scan(spark, sf_dir):
     return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)\.txt$", 1).try_cast("long"))
 
 
+def op13_cross_tokenizer_alignment(spark, sf_dir):
+    from tallyforge.llm import alignment
+
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 #: The key of the registered query and the pipeline; real data need one of their own.
 KEY = "registered-query"
 QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii_pseudonyms, op3_benchmark_decontamination,
                                   op4_virtual_slot_sharding, op5_best_fit_packing, op6_exact_top_k, op7_substring_dedup,
-                                  op8_language_id, op9_toxicity, op10_simhash_near_dedup)}
+                                  op8_language_id, op9_toxicity, op10_simhash_near_dedup,
+                                  op13_cross_tokenizer_alignment)}
 SQL: dict[str, str] = {}
