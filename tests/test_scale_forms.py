@@ -112,16 +112,31 @@ def test_near_copies_keep_first(spark):
     assert got == want
 
 
-def test_hashed_neighbours_find_most(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16, "chunk_blocks": 2, "meeting_blocks": 3, "pivot_rows": 60}])
+def test_neighbours_equal_brute_force(spark, sizes):
+    """Clusters, far vectors, a third of the rows one vector, zero vectors, null and odd ones; every path exact."""
     rng = np.random.default_rng(5)
-    centres = rng.standard_normal((30, 16))
-    x = np.repeat(centres, 20, axis=0) + 0.05 * rng.standard_normal((600, 16))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>")
-    exact = {(r.id, r.neighbour) for r in pr.neighbours(df, 3).collect()}
-    monkeypatch.setattr(pr, "BRUTE_FORCE_ROWS", 100)
-    monkeypatch.setattr(pr, "BLOCK_ROWS", 100)
-    found = {(r.id, r.neighbour) for r in pr.neighbours(df, 3).collect()}
-    assert len(exact) == 1800 and len(exact & found) / len(exact) > 0.95
+    x = [*np.repeat(rng.standard_normal((25, 16)), 20, axis=0) + 0.05 * rng.standard_normal((500, 16)), *rng.standard_normal((150, 16))]
+    x += [x[3]] * 330 + [x[9] * 2, np.zeros(16), np.zeros(16)]
+    ids = rng.permutation(len(x)) + 2**60
+    rows = [(int(i), [float(c) for c in v], 1.0) for i, v in zip(ids, x)]
+    odd = [(1, None, 0.0), (2, [], 0.0), (3, [float("nan")] * 16, 0.0), (4, [None] + [1.0] * 15, 0.0), (None, [1.0] * 16, 0.0)]
+    df = spark.createDataFrame(rows + odd, "id long, vector array<double>, score double").repartition(5)
+    got = {}
+    for r in pr.neighbours(df, 4, **sizes).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.neighbour, r.score)
+    unit = np.array([v / (np.linalg.norm(v) or 1) for v in x])
+    sims = np.round(unit @ unit.T, 9)
+    assert set(got) == {int(i) for i in ids}
+    for at, i in enumerate(ids):
+        want = sorted((-s, int(o)) for s, o in zip(sims[at], ids) if o != i)[:4]
+        mine = [got[i][r] for r in range(1, 5)]
+        assert [round(s, 9) for _, s in mine] == [-s for s, _ in want]
+        assert all(round(float(sims[at, np.flatnonzero(ids == o)[0]]), 9) == round(s, 9) for o, s in mine)
+        assert not (sims[at] == 1).all() or [o for o, _ in mine] == [o for _, o in want]
+    copies = sorted(int(i) for i, v in zip(ids, x) if (v == x[3]).all())
+    assert [got[copies[9]][r][0] for r in range(1, 5)] == copies[:4]
+    assert pr.neighbours(df.limit(0), 4).count() == 0
 
 
 def test_exact_quantiles(spark):
