@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -84,6 +85,133 @@ def digits_of(s: str) -> str:
     return "".join(ch for ch in s if "0" <= ch <= "9").lstrip("0")
 
 
+#: Longest text whose places fit into one machine word.
+WORD = 62
+
+
+class Texts:
+    """Many texts, laid out so that one text is compared with all of them at once, a character of each at a time."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.n = texts, len(texts)
+        alphabet = sorted(set("".join(texts)))
+        self.code = {ch: i for i, ch in enumerate(alphabet)}
+        by_length: dict[int, list[int]] = {}
+        for i, t in enumerate(texts):
+            by_length.setdefault(len(t), []).append(i)
+        points = np.array([ord(ch) for ch in alphabet], np.uint32)
+        self.groups = []
+        for m, at in sorted(by_length.items()):
+            raw = np.frombuffer("".join([texts[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), m)
+            self.groups.append((m, np.array(at), np.searchsorted(points, raw).T.copy()))
+
+    def masks(self, a: str) -> np.ndarray:
+        """For every character of the texts the places at which ``a`` has it."""
+        out = np.zeros(len(self.code) + 1, np.uint64)
+        for i, ch in enumerate(a):
+            if ch in self.code:
+                out[self.code[ch]] |= np.uint64(1 << i)
+        return out
+
+
+def _steps(masks: np.ndarray, n: int, codes: np.ndarray):
+    """The bit rows of the LCS of one text of ``n`` characters with all columns, after each character."""
+    full = np.uint64((1 << n) - 1)
+    row = np.full(codes.shape[1], full, np.uint64)
+    for line in codes:
+        hit = row & masks[line]
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _common(row: np.ndarray, n: int) -> np.ndarray:
+    return n - np.bitwise_count(row).astype(np.int64)
+
+
+def indel_to_all(a: str, others: Texts) -> np.ndarray:
+    """``indel`` of ``a`` and every text."""
+    out = np.empty(others.n)
+    masks = others.masks(a) if len(a) <= WORD else None
+    for m, at, codes in others.groups:
+        if masks is None:
+            out[at] = [indel(a, others.texts[i]) for i in at]
+        elif not a or not m:
+            out[at] = 0.0 if a or m else 1.0
+        else:
+            *_, row = _steps(masks, len(a), codes)
+            out[at] = 2.0 * _common(row, len(a)) / (len(a) + m)
+    return out
+
+
+def _window_to_all(a: str, others: Texts) -> np.ndarray:
+    """The better of ``indel`` and ``best_window`` of ``a`` and every text."""
+    n, out = len(a), np.empty(others.n)
+    masks, back = (others.masks(a), others.masks(a[::-1])) if n <= WORD else (None, None)
+    for m, at, codes in others.groups:
+        if masks is None or not n or not m:
+            out[at] = [best_window(a, others.texts[i], indel(a, others.texts[i])) for i in at]
+            continue
+        best = np.zeros(len(at))
+        for side, lines in ((masks, codes), (back, codes[::-1])):
+            for i, row in enumerate(_steps(side, n, lines), start=1):
+                if i <= n <= m:  # beginnings of the longer text against all of ``a``
+                    np.maximum(best, 2.0 * _common(row, n) / (n + i), out=best)
+            if side is masks:
+                whole = _common(row, n)
+                np.maximum(best, 2.0 * whole / (n + m), out=best)
+            if n >= m:  # beginnings of ``a`` against all of the other text: the low places of the last row
+                for i in range(1, m + 1):
+                    low = np.bitwise_count(row & np.uint64((1 << i) - 1)).astype(np.int64)
+                    np.maximum(best, 2.0 * (i - low) / (m + i), out=best)
+        some = np.flatnonzero(np.minimum(whole, min(n, m)) / min(n, m) > best)
+        for i in range(1, abs(m - n)):
+            if not len(some):
+                break
+            if n < m:
+                *_, row = _steps(masks, n, codes[i:i + n, some])
+                inside = 2.0 * _common(row, n) / (2 * n)
+            else:
+                *_, row = _steps((masks >> np.uint64(i)) & np.uint64((1 << m) - 1), m, codes[:, some])
+                inside = 2.0 * _common(row, m) / (2 * m)
+            best[some] = np.maximum(best[some], inside)
+        out[at] = best
+    return out
+
+
+class References:
+    """Texts with their digits, to compare references with."""
+
+    def __init__(self, texts: list[str]):
+        self.whole, digits = Texts(texts), [digits_of(t) for t in texts]
+        self.some = np.array([i for i, d in enumerate(digits) if d], np.int64)
+        self.digits = Texts([digits[i] for i in self.some])
+
+    def scores(self, a: str) -> np.ndarray:
+        """``reference_similarity`` of ``a`` and every text."""
+        out, digits = _window_to_all(a, self.whole), digits_of(a)
+        if digits and len(self.some):
+            out[self.some] = np.maximum(out[self.some], indel_to_all(digits, self.digits))
+        return out
+
+
+#: Pairs of one left text from which on they are compared at once.
+_MANY = 6
+
+
+def reference_scores(a: list[str], b: list[str]) -> np.ndarray:
+    """F4 of each pair; the pairs of one ``a`` are compared together."""
+    out = np.empty(len(a))
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    for x, at in places.items():
+        if len(at) < _MANY:
+            out[at] = [reference_similarity(x, b[i]) for i in at]
+        else:
+            out[at] = References([b[i] for i in at]).scores(x)
+    return out
+
+
 def _pairwise(fn):
     @F.pandas_udf("double")
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -107,7 +235,15 @@ def partial_ratio(a, b):
 
 def reference_ratio(a, b):
     """F4 in one pass over the pairs."""
-    return _pairwise(reference_similarity)(a, b)
+
+    @F.pandas_udf("double")
+    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = pd.Series(np.full(len(a), np.nan))
+        there = np.flatnonzero(a.notna() & b.notna())
+        out[there] = reference_scores(a.iloc[there].tolist(), b.iloc[there].tolist())
+        return out.astype("Float64") if len(there) < len(a) else out
+
+    return udf(a, b)
 
 
 def sequence_ratio(a, b):

@@ -1,20 +1,18 @@
-"""Fuzzy candidate shortlist without comparing everything with everything.
-
-Which pairs are compared: those whose references (or their digits without
-leading zeros) are equal, contain one another, or become equal after deleting
-at most ``depth`` characters on either side and no more than one in four.
-Every step works on distinct reference texts, so a reference shared by a third
-of the rows is still one text, and a block holds only the texts that are a few
-edits apart. There is no limit on the number of compared pairs.
-
-The search widens in levels (0, 1, 2 deletions). A record leaves it as soon as
-it has ``k`` candidates that no pair of a later level can beat, so its
-shortlist is the one of the full depth. Pairs further apart than that, which
-could only score through a similar name, are not compared.
+"""Fuzzy candidate shortlist, equal to comparing everything with everything.
+
+Without vectors most records are settled by their reference alone. Distinct references meet when they (or their digits
+without leading zeros) are equal, contain one another, or become equal after deleting one character on either side. A
+record leaves as soon as it has ``k`` candidates that no pair left unseen can beat; its shortlist is then complete.
+
+The references that stay open (far from all others, or similar by name only) are a query set that goes against all distinct
+pool rows, in blocks: chunks of records and blocks of pool rows meet once each, and within a meeting a text is compared with
+all texts of the block at once. With vectors every record is open. There is no limit on depth or on compared pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge.functions import similarity, text
@@ -124,8 +122,8 @@ def _unseen_bound(r_len: Column, p_lengths: list[int], level: int, whole: bool)
     return best
 
 
-def reference_pairs(records: DataFrame, pool: DataFrame, k: int, depth: int = 2) -> DataFrame:
-    """Scored pairs (r, p, ref_score) of distinct references, enough for every top ``k``.
+def reference_pairs(records: DataFrame, pool: DataFrame, k: int, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Scored pairs (r, p, ref_score) of distinct references, and the references (r) whose top ``k`` they need not hold.
 
     ``pool`` brings ``n``, the number of pool rows behind each text.
     """
@@ -149,8 +147,6 @@ def reference_pairs(records: DataFrame, pool: DataFrame, k: int, depth: int = 2)
             new = new.join(scored.select("r", "p"), ["r", "p"], "left_anti")
         new = cut(new.withColumn("ref_score", reference_score(F.col("r"), F.col("p"))), f"pairs-{level}")
         scored = new if scored is None else scored.unionByName(new)
-        if level == depth:
-            break
         bound = F.greatest(
             _unseen_bound(F.length("r"), p_lengths, level, whole=False),
             _unseen_bound(F.length(text.digit_key(F.col("r"))), d_lengths, level, whole=True),
@@ -167,12 +163,75 @@ def reference_pairs(records: DataFrame, pool: DataFrame, k: int, depth: int = 2)
         open_r = cut(open_r.join(settled.select("r"), "r", "left_anti"), f"open-{level}")
         if open_r.isEmpty():
             break
-    return scored
+    return scored, open_r
+
+
+#: Records of a chunk and pool rows of a block, about.
+CHUNK, BLOCK = 1000, 4096
+_FOUND = "u long, cls long, ref_score double, name_score double, semantic_score double"
+
+
+def _best_of_block(k: int, least: float, with_vectors: bool):
+    """The ``k`` best pool classes of a block for every record of a chunk."""
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"u": [], "cls": [], "ref_score": [], "name_score": [], "semantic_score": []})
+        if not len(left) or not len(right):
+            return none
+        refs, ref_of = np.unique(right["p"].to_numpy(str), return_inverse=True)
+        names, name_of = np.unique(right["p_key"].fillna("").to_numpy(str), return_inverse=True)
+        references, texts, cls = similarity.References(refs.tolist()), similarity.Texts(names.tolist()), right["cls"].to_numpy(np.int64)
+        named = right["p_key"].notna().to_numpy()
+        there = np.flatnonzero(right["p_vector"].notna()) if with_vectors else []
+        vectors = np.stack(right["p_vector"].iloc[there].to_numpy()).astype(np.float64) if len(there) else None
+        out, by_name = [], {}
+        for r, rows in left.groupby("r"):
+            ref = references.scores(r)[ref_of]
+            for row in rows.itertuples():
+                if pd.isna(row.r_key):
+                    name = np.zeros(len(right))
+                else:
+                    if row.r_key not in by_name:
+                        by_name[row.r_key] = np.where(named, similarity.indel_to_all(row.r_key, texts)[name_of], 0.0)
+                    name = by_name[row.r_key]
+                semantic = np.zeros(len(right))
+                if with_vectors and vectors is not None and row.r_vector is not None:
+                    semantic[there] = np.clip(vectors @ np.asarray(row.r_vector, np.float64), 0, 1)
+                score = np.where(ref >= STRONG_REFERENCE, np.maximum(ref, BLEND_REFERENCE * ref + BLEND_SEMANTIC * semantic),
+                                 WEIGHT_REFERENCE * ref + WEIGHT_NAME * name + WEIGHT_SEMANTIC * semantic)
+                some = np.flatnonzero(score >= least)
+                rounded = np.rint(score[some] * 1e4)
+                if len(some) > k:
+                    kept = rounded >= np.partition(rounded, len(some) - k)[len(some) - k]
+                    some, rounded = some[kept], rounded[kept]
+                some = some[np.lexsort((cls[some], -rounded))[:k]]
+                out.append(pd.DataFrame({"u": row.u, "cls": cls[some], "ref_score": ref[some], "name_score": name[some],
+                                         "semantic_score": semantic[some]}))
+        return pd.concat(out) if out else none
+
+    return run
+
+
+def _name_key(name: str) -> Column:
+    """Sorted tokens of a name; null for a missing one."""
+    return F.when(text.blank_to_null(F.col(name)).isNotNull(), text.sorted_tokens(F.col(name)))
+
+
+def compared(records: DataFrame, classes: DataFrame, k: int, least: float, with_vectors: bool) -> DataFrame:
+    """(u, cls, ref_score, name_score, semantic_score): for each of ``records`` the ``k`` best of every block of ``classes``.
+
+    ``records`` are (u, r, r_key[, r_vector]), ``classes`` (cls, p, p_key[, p_vector]); every record meets every class once.
+    """
+    chunks, turns = max(1, records.count() // CHUNK), max(1, classes.count() // BLOCK)
+    parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks * turns // 4)
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = records.withColumn("chunk", place("u", chunks)).withColumn("turn", every(turns)).repartition(parts, "chunk", "turn")
+    came = classes.withColumn("at", place("cls", turns)).withColumn("to", every(chunks)).repartition(parts, "to", "at")
+    return asked.groupBy("chunk", "turn").cogroup(came.groupBy("to", "at")).applyInPandas(_best_of_block(k, least, with_vectors), _FOUND)
 
 
-def shortlist(
-    records: DataFrame, pool: DataFrame, settings: Settings = Settings(), depth: int = 2
-) -> DataFrame:
+def shortlist(records: DataFrame, pool: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """F9. (id, ref, name[, vector]) x (id, ref, name, pos[, vector]) -> the top-k rows per record.
 
     ``pos`` is the pool order that breaks ties. Optional unit vectors add the
@@ -190,53 +249,47 @@ def shortlist(
         F.col("name").alias("p_name"), F.col("pos").alias("pos"),
         *([F.col("vector").alias("p_vector")] if with_vectors else []),
     ).filter("p is not null")
-
-    pairs = reference_pairs(
-        cut(rec.select("r").distinct(), "record-texts"),
-        cut(cand.groupBy("p").agg(F.count("*").alias("n")), "pool-texts"), k, depth)
-    pairs = pairs.filter("ref_score > 0")
-
-    # Rows of one pool class score alike for a record, so its first k in pool
-    # order are all a shortlist can take. With a strong reference and no
-    # vectors, the class is the reference alone.
-    vec = ["p_vector"] if with_vectors else []
     first = lambda keys, df: with_rank(df, keys, ["pos", "candidate_id"], "_i", settings).filter(
         F.col("_i") <= k).drop("_i")
-    strong = pairs.filter(F.col("ref_score") >= STRONG_REFERENCE).join(first(["p", *vec], cand), "p")
-    weak = pairs.filter(F.col("ref_score") < STRONG_REFERENCE)
+    r_class = ["r", "r_name", *(["r_vector"] if with_vectors else [])]
+    p_class = ["p", "p_name", *(["p_vector"] if with_vectors else [])]
+    # Records that are alike are listed once and share their list.
+    classes = cut(rec.select(*r_class).distinct().withColumn("u", F.monotonically_increasing_id()), "record-classes")
+    open_classes, settled = classes, None
     if not with_vectors:
-        # Names do not count for strong references, so the ranking is settled
-        # before any name is compared, and weak ones are only needed to fill up.
+        texts = cut(cand.groupBy("p").agg(F.count("*").alias("n")), "pool-texts")
+        pairs, open_r = reference_pairs(cut(rec.select("r").distinct(), "record-texts"), texts, k)
+        open_classes = classes.join(open_r, "r", "left_semi")
+        # With a strong reference the name does not count, so rows of one reference score alike.
         by_ref = Window.partitionBy("r").orderBy(F.desc(F.bround("ref_score", 4)), "pos", "candidate_id")
-        strong = cut(
-            strong.withColumn("_i", F.row_number().over(by_ref)).filter(F.col("_i") <= k).drop("_i"), "strong")
-        complete = strong.groupBy("r").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-        weak = weak.join(complete.select("r"), "r", "left_anti")
-    weak = weak.join(first(["p", "p_name", *vec], cand), "p")
-    # Records are collapsed the same way: the ranking is made once per distinct
-    # (reference, name, vector) and handed to the rows that carry it.
-    r_class = ["r", "r_name", *(["r_vector"] if with_vectors else [])]
-    classes = rec.select(*r_class).distinct().withColumn("c", F.sha2(F.to_json(F.struct(*r_class)), 256))
-    semantic = semantic_score(F.col("r_vector"), F.col("p_vector")) if with_vectors else F.lit(0.0)
-    listed = (
-        classes.join(strong.unionByName(weak), "r")
-        .withColumn("name_score", name_score(F.col("r_name"), F.col("p_name")))
-        .withColumn("semantic_score", semantic)
-        .withColumn(
-            "similarity_score", hybrid_score(F.col("ref_score"), F.col("name_score"), F.col("semantic_score")))
-        .filter(F.col("similarity_score") >= settings.min_candidate_score)
-        .select(
-            *r_class, "candidate_id", "pos",
-            *[F.bround(c, 4).alias(c) for c in ("similarity_score", "ref_score", "name_score", "semantic_score")],
-        )
-    )
-    w = Window.partitionBy(*r_class).orderBy(F.desc("similarity_score"), "pos", "candidate_id")
-    top = listed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        strong = pairs.filter(F.col("ref_score") >= STRONG_REFERENCE).join(open_r, "r", "left_anti").join(first(["p"], cand), "p")
+        strong = strong.withColumn("_i", F.row_number().over(by_ref)).filter(F.col("_i") <= k).drop("_i", "p")
+        settled = classes.join(strong, "r").select(
+            "u", "candidate_id", "pos", "ref_score", name_score(F.col("r_name"), F.col("p_name")).alias("name_score"),
+            F.lit(0.0).alias("semantic_score"))
+
+    # Rows of one pool class score alike too: its first k in pool order are all a list can take.
+    ordered = with_rank(cand.withColumn("_all", F.lit(0)), ["_all"], ["pos", "candidate_id"], "cls", settings).drop("_all")
+    members = cut(first(p_class, ordered).withColumn("cls", F.min("cls").over(Window.partitionBy(*p_class)).cast("long")), "pool-classes")
+    asked = cut(open_classes.withColumn("r_key", _name_key("r_name")).drop("r_name"), "open-classes")
+    came = members.withColumn("p_key", _name_key("p_name")).drop("candidate_id", "pos", "p_name").dropDuplicates(["cls"])
+    found = compared(asked, cut(came, "compared-classes"), k, settings.min_candidate_score, with_vectors)
+    listed = found.join(members.select("cls", "candidate_id", "pos"), "cls").drop("cls")
+    if settled is not None:
+        listed = listed.unionByName(settled)
+    listed = listed.withColumn(
+        "similarity_score", hybrid_score(F.col("ref_score"), F.col("name_score"), F.col("semantic_score"))).filter(
+        F.col("similarity_score") >= settings.min_candidate_score).select(
+        "u", "candidate_id", "pos",
+        *[F.bround(c, 4).alias(c) for c in ("similarity_score", "ref_score", "name_score", "semantic_score")])
+    w = Window.partitionBy("u").orderBy(F.desc("similarity_score"), "pos", "candidate_id")
+    top = listed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("pos")
     on = None
     for c in r_class:
-        cond = rec[c].eqNullSafe(top[c])
+        cond = rec[c].eqNullSafe(classes[c])
         on = cond if on is None else on & cond
-    return rec.join(top, on).select(
+    named = rec.join(classes, on).select("record_id", "u")
+    return named.join(top, "u").select(
         "record_id", "candidate_id", "similarity_score", "ref_score", "name_score", "semantic_score", "rank")
 
 

@@ -88,6 +88,48 @@ def test_shortlist_equals_brute_force_for_near_references(spark, seed):
     assert sorted((r.record_id, r.candidate_id) for r in got) == sorted((a, b) for a, b, _ in brute_shortlist(records, pool))
 
 
+def test_shortlist_equals_brute_force_for_far_references(spark, monkeypatch):
+    """References with little in common, equal and similar names, missing names, hot names: the whole list of every record."""
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    far = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 16)))
+    names = ["Acme Trading Ltd", "Ltd Acme Trading", "Acme Tradng", "Zenith Foods", "B", "", None, "Órbita S.A."]
+    records = [(f"S{i}", rng.choice([far(), "REF000000123", "same far text"]), "Acme Trading Ltd" if i % 3 == 0 else rng.choice(names)) for i in range(120)]
+    pool = [(f"O{i}", far() if i % 4 else "REF%09d" % rng.randrange(500), "Acme Trading Ltd" if i % 3 == 0 else rng.choice(names), i) for i in range(400)]
+    monkeypatch.setattr(shortlist, "CHUNK", 30)
+    monkeypatch.setattr(shortlist, "BLOCK", 70)
+    got = shortlist.shortlist(
+        spark.createDataFrame(records, "id string, ref string, name string").repartition(3),
+        spark.createDataFrame(pool, "id string, ref string, name string, pos int").repartition(3)).collect()
+    want = {}
+    for rid, ref, name in records:
+        scored = []
+        for pid, pref, pname, pos in pool:
+            r = sim.reference_similarity(ref.upper(), pref)
+            n = sim.indel(" ".join(sorted(name.split())), " ".join(sorted(pname.split()))) if name and pname else 0.0
+            s = r if r >= 0.75 else 0.4 * r + 0.3 * n
+            if s >= 0.35:
+                scored.append((-round(s, 4), pos, pid, round(r, 4), round(n, 4)))
+        want[rid] = [(pid, -s, r, n) for s, _, pid, r, n in sorted(scored)[:3]]
+    listed = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        listed.setdefault(r.record_id, []).append((r.candidate_id, r.similarity_score, r.ref_score, r.name_score))
+    assert listed == {k: v for k, v in want.items() if v}
+    assert any(0 < s < 0.75 for v in want.values() for _, s, _, _ in v)
+
+
+def test_reference_scores_equal_the_ratios_one_by_one():
+    rng = random.Random(1)
+    make = lambda: "x" * rng.randrange(70) if rng.random() < 0.1 else "".join(
+        rng.choice(["REF", "0", "1", "2", "é", "A", "-", "日"]) for _ in range(rng.randrange(14)))
+    texts = [make() for _ in range(300)]
+    references, plain = sim.References(texts), sim.Texts(texts)
+    for _ in range(60):
+        a = make()
+        assert np.allclose(references.scores(a), [sim.reference_similarity(a, b) for b in texts], atol=1e-12)
+        assert np.allclose(sim.indel_to_all(a, plain), [sim.indel(a, b) for b in texts], atol=1e-12)
+
+
 def test_near_copies_keep_first(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
