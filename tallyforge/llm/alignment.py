@@ -1,8 +1,8 @@
 """Two tokenizers aligned over the same bytes.
 
 Every text is encoded whole by both. Ends that both share and behind which both next tokens begin with a space are anchors;
-they split a document into windows of token ids. A window's alignment depends on its ids alone, so it is worked out once
-and kept by the pair of id tuples. Inside a window the bytes at which both end close the groups, and tokens whose byte
+they split a document into windows of token ids. A window's alignment depends on its ids alone, so a block works it out once
+for each distinct pair of id tuples, whatever the number of its windows. Inside a window the bytes at which both end close the groups, and tokens whose byte
 ranges overlap are linked.
 
 Documents are stored in blocks that know their windows and the distinct id pairs of those. The pairs of all blocks are
@@ -12,36 +12,27 @@ counted by a shuffle (a pair at most once for each block), and every block gets
 from __future__ import annotations
 
 import hashlib
-import pickle
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyforge.llm import packing
+from tallyforge.llm import packing, wordscan
+from tallyforge.llm.packed import narrow, pack, unpack
 from tallyforge.session import cut
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 6_000_000
-#: Windows that a worker remembers between blocks; beyond that it begins anew.
-REMEMBERED = 250_000
+BLOCK_BYTES = 4_000_000
 _SHIFT = 1 << 32
+#: Ids up to which windows are told apart by whole-array operations.
+_LANES = 8
 _pairs: dict[tuple[str, str], "Pair"] = {}
 
 
-def _pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
-
-
-def _unpack(b: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
-
-
 class Pair:
     """Both tokenizers, and the bytes of each of their tokens."""
 
@@ -62,68 +53,101 @@ class Pair:
                         else self.b.id_to_piece(i).replace("▁", " ").encode("utf-8") for i in range(self.b.get_piece_size())]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.memo: dict[tuple, int] = {}
-        self.forget()
+        most = max(len(self.a_len), len(self.b_len))
+        self.written = np.array([[f"{i}{sign}" for i in range(most)] for sign in (",", "|", ";", "")], object)
 
-    def forget(self) -> None:
-        self.memo.clear()
-        self.texts: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[list[int]] = []
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of every text by both; none where the tokens do not spell a space and the text."""
-        out = []
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            a, whole = (np.frombuffer(self.a.one(" " + text), "<u4").astype(np.int64) if text else [], (" " + text).encode())
-            same = len(a) and b"".join([self.a_bytes[i] for i in a.tolist()]) == whole == b"".join([self.b_bytes[i] for i in b])
-            out.append((a, np.array(b, np.int64)) if same else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        return out
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """The numbers of the windows of one document, in order."""
-        if not len(a):
-            return []
+        a_bytes, b_bytes, none = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
+        a_ids, b_ids = [], self.b.encode(texts, num_threads=1)
+        for i, text in enumerate(texts):
+            spaced = " " + text
+            words = text.split()
+            # Very long runs go the slow way; see the encoder.
+            longest = max(map(len, words), default=0)
+            slow = longest >= 1000 or len(text) - sum(map(len, words)) - len(words) >= 900
+            a = (np.frombuffer(self.a.one(spaced), "<u4").tolist() if slow else self.a.fast.encode_ordinary(spaced)) if text else none
+            whole = spaced.encode()
+            if not a or b"".join(map(a_bytes, a)) != whole or b"".join(map(b_bytes, b_ids[i])) != whole:
+                a = b_ids[i] = none
+            a_ids.append(a)
+        return a_ids, b_ids
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Of documents one after another: the last byte of each window, which distinct window it is, and the ids of those.
+
+        Every document begins with a space in both, so that its end is an anchor like others. The distinct windows are
+        numbered by their pair of id tuples; of each, the ids of both sides are given one after another, with their numbers.
+        """
+        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        a_last, b_last = a_end[np.append(self.a_space[a[1:]], True)], b_end[np.append(self.b_space[b[1:]], True)]
+        anchors = a_last[b_last[np.minimum(np.searchsorted(b_last, a_last), len(b_last) - 1)] == a_last]
+        a_cut, b_cut = np.searchsorted(a_end, anchors) + 1, np.searchsorted(b_end, anchors) + 1
+        a_from, b_from = np.append(0, a_cut[:-1]), np.append(0, b_cut[:-1])
+        short = (a_cut - a_from <= _LANES) & (b_cut - b_from <= _LANES)
+        place = np.empty(len(anchors), np.int64)
+        same, place[short] = _distinct(np.concatenate((_lanes(a, a_from[short], a_cut[short]), _lanes(b, b_from[short], b_cut[short])), 1))
+        first = np.flatnonzero(short)[same].tolist()
+        known: dict[tuple, int] = {}
+        for w in np.flatnonzero(~short).tolist():
+            key = tuple(a[a_from[w]:a_cut[w]].tolist()), tuple(b[b_from[w]:b_cut[w]].tolist())
+            place[w] = known.setdefault(key, len(same) + len(known))
+            if place[w] == len(first):
+                first.append(w)
+        first = np.array(first, np.int64)
+        return anchors, place, (*_runs(a, a_from[first], a_cut[first]), *_runs(b, b_from[first], b_cut[first]))
+
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window the groups as text and their number, the number of links, and all links as ``a * 2**32 + b``.
+
+        All windows at once, their bytes one after another: a link is a stretch of bytes between two ends of either side.
+        """
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        anchors = np.intersect1d(a_end[:-1][self.a_space[a[1:]]], b_end[:-1][self.b_space[b[1:]]], assume_unique=True)
-        a_cut = [0, *(np.searchsorted(a_end, anchors) + 1).tolist(), len(a)]
-        b_cut = [0, *(np.searchsorted(b_end, anchors) + 1).tolist(), len(b)]
-        at, bt, memo, out = tuple(a.tolist()), tuple(b.tolist()), self.memo, []
-        for i, j, k, m in zip(a_cut, a_cut[1:], b_cut, b_cut[1:]):
-            key = at[i:j], bt[k:m]
-            number = memo.get(key)
-            out.append(self._add(key) if number is None else number)
-        return out
-
-    def _add(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> int:
-        text, links = self.align(*key)
-        number = self.memo[key] = len(self.texts)
-        self.texts.append(text)
-        self.groups.append(text.count("|"))
-        self.links.append(links)
-        return number
-
-    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int]]:
-        """The groups as text, and the linked pairs as ``a * 2**32 + b``."""
-        a_len, b_len = self.a_len, self.b_len
-        groups, links, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-        a_end, b_end = a_len[a[0]], b_len[b[0]]
-        while True:
-            links.append(a[i] * _SHIFT + b[j])
-            ahead = a_end - b_end
-            if ahead <= 0:
-                i += 1
-            if ahead >= 0:
-                j += 1
-            if ahead == 0:
-                groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-                if i == len(a):
-                    return ";".join(groups), links
-                first_i, first_j = i, j
-            if ahead <= 0:
-                a_end += a_len[a[i]]
-            if ahead >= 0:
-                b_end += b_len[b[j]]
+        ends = _sorted_distinct(np.concatenate((a_end, b_end)))
+        link = a[np.searchsorted(a_end, ends)].astype(np.int64) * _SHIFT + b[np.searchsorted(b_end, ends)]
+        common = a_end[b_end[np.searchsorted(b_end, a_end)] == a_end]
+        # The text has each group's ids of A, then those of B; the last of each and of the window have signs of their own.
+        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        a_upto, b_upto = (np.searchsorted(g, np.arange(len(common)), "right") for g in (a_group, b_group))
+        a_place = np.arange(len(a)) + np.append(0, b_upto)[a_group]
+        b_place = np.arange(len(b)) + a_upto[b_group]
+        a_sign, b_sign = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_sign[a_upto - 1], b_sign[b_upto - 1], b_sign[np.cumsum(n_b) - 1] = 1, 2, 3
+        signs = np.empty(len(a) + len(b), object)
+        signs[a_place], signs[b_place] = self.written[a_sign, a], self.written[b_sign, b]
+        signs = signs.tolist()
+        window_end = a_end[np.cumsum(n_a) - 1]
+        upto = np.cumsum(n_a + n_b).tolist()
+        texts = ["".join(signs[s:e]) for s, e in zip([0] + upto, upto)]
+        return texts, np.diff(np.searchsorted(common, window_end, "right"), prepend=0), np.diff(np.searchsorted(ends, window_end, "right"), prepend=0), link
+
+
+def _runs(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = end - begin
+    return ids[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size
+
+
+def _lanes(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The ids of each run, filled up to a fixed number with what is no id."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(ids, np.zeros(_LANES, ids.dtype)), _LANES)[begin]
+    rows[np.arange(_LANES) >= (end - begin)[:, None]] = -1
+    return rows
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct row, and for every row which one it is."""
+    h = np.zeros(len(rows), np.uint64)
+    for column in np.ascontiguousarray(rows).view(np.uint64).T:
+        h = wordscan.mix(h ^ column)
+    _, first, place = np.unique(h, return_index=True, return_inverse=True)
+    if not (rows[first][place] == rows).all():  # two rows with one hash
+        _, first, place = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return first, place.reshape(-1)
+
+
+def _sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def pair(byte_tokenizer: str, piece_tokenizer: str) -> Pair:
@@ -135,28 +159,34 @@ def pair(byte_tokenizer: str, piece_tokenizer: str) -> Pair:
 
 def _block(both: Pair, number: int, ids: list, texts: list[str], keep: bool) -> pd.DataFrame:
     """(block, data, pairs, documents): documents and windows, the distinct id pairs and how many documents hold each."""
-    rows, of = [], []
-    for doc, (a, b) in zip(ids, both.encode(texts)):
-        numbers = both.windows(a, b)
-        text = ";".join([both.texts[n] for n in numbers])
-        digest = hashlib.sha256(text.encode()).hexdigest() if numbers else ""
-        rows.append((doc, len(a), len(b), sum([both.groups[n] for n in numbers]), digest) + ((text,) if keep else ()))
-        of.append(numbers)
-    sizes = np.array([len(x) for x in of], np.int64)
-    window, numbers = np.unique(np.fromiter(chain.from_iterable(of), np.int64, int(sizes.sum())), return_inverse=True)
-    links = [both.links[n] for n in window.tolist()]
-    width = np.array([len(x) for x in links], np.int64)
-    key, link = np.unique(np.fromiter(chain.from_iterable(links), np.int64, int(width.sum())), return_inverse=True)
+    encoded = both.encode(texts)
+    n_a, n_b = (np.array([len(x) for x in e], np.int64) for e in encoded)
+    a, b = (np.fromiter(chain.from_iterable(e), np.int32, int(n.sum())) for e, n in zip(encoded, (n_a, n_b)))
+    anchors = place = per_window = width = links = np.zeros(0, np.int64)
+    fragments: list[str] = []
+    if len(a):
+        anchors, place, distinct = both.windows(a, b)
+        fragments, per_window, width, links = both.align(*distinct)
+    # Which document a window is of, by where the documents end.
+    ends = np.append(0, np.cumsum(both.a_len[a]))[np.cumsum(n_a)]
+    first = np.searchsorted(anchors, np.append(0, ends[:-1]), "right")
+    upto = np.searchsorted(anchors, ends, "right")
+    sizes = upto - first
+    of_window = place.tolist()
+    groups = np.append(0, np.cumsum(per_window[place]))
+    rows = []
+    for i, doc in enumerate(ids):
+        text = ";".join([fragments[p] for p in of_window[first[i]:upto[i]]])
+        digest = hashlib.sha256(text.encode()).hexdigest() if sizes[i] else ""
+        rows.append((doc, int(n_a[i]), int(n_b[i]), int(groups[upto[i]] - groups[first[i]]), digest) + ((text,) if keep else ()))
+    key, link = np.unique(links, return_inverse=True)
     # Each document's distinct windows, then their links, then its distinct pairs.
-    held = np.unique(np.repeat(np.arange(len(rows)), sizes) * max(1, len(window)) + numbers)
-    doc, own = np.divmod(held, max(1, len(window)))
-    first = np.concatenate(([0], np.cumsum(width)))[own]
+    doc, own = np.divmod(_sorted_distinct(np.repeat(np.arange(len(rows)), sizes) * max(1, len(width)) + place), max(1, len(width)))
+    begin = np.append(0, np.cumsum(width))[own]
     inside = np.arange(int(width[own].sum())) - np.repeat(np.cumsum(width[own]) - width[own], width[own])
-    in_doc = np.unique(np.repeat(doc, width[own]) * max(1, len(key)) + link[np.repeat(first, width[own]) + inside])
+    in_doc = _sorted_distinct(np.repeat(doc, width[own]) * max(1, len(key)) + link[np.repeat(begin, width[own]) + inside])
     documents = np.bincount(in_doc % max(1, len(key)), minlength=len(key))
-    if len(both.texts) > REMEMBERED:
-        both.forget()
-    data = _pack((rows, sizes, numbers.astype(np.uint32), width.astype(np.uint32), link.astype(np.uint32)))
+    data = pack((rows, sizes, narrow(place), narrow(width), narrow(link)))
     return pd.DataFrame({"block": [number], "data": [data], "pairs": [key], "documents": [documents]})
 
 
@@ -185,7 +215,7 @@ def _summed(keep: bool):
         answers = answers.sort_values("place")
         count, best = answers["n"].to_numpy(np.int64), answers["best"].to_numpy(bool)
         for data in block["data"]:
-            rows, sizes, numbers, width, link = _unpack(data)
+            rows, sizes, numbers, width, link = unpack(data)
             at = np.concatenate(([0], np.cumsum(width.astype(np.int64))))
             per_link = np.stack((np.ones(len(link), np.int64), best[link].astype(np.int64), count[link])) if len(link) else np.zeros((3, 0), np.int64)
             sums = np.concatenate((np.zeros((3, 1), np.int64), np.cumsum(per_link, axis=1)), axis=1)

@@ -70,14 +70,6 @@ def test_equals_model(spark, tiny, block):
     assert got(df, block_bytes=block) == model(rows)
 
 
-def test_windows_do_not_depend_on_memory(spark, monkeypatch):
-    rows = [(i, f"some words of document {i} and some more") for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    one = got(df)
-    monkeypatch.setattr(alignment, "REMEMBERED", 3)
-    assert got(df, block_bytes=100) == one == model(rows)
-
-
 def test_groups_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
     rows = {r.doc_id: r for r in alignment.align(df, keep_groups=True).collect()}
