@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyforge.functions import money
 from tallyforge.operators.ranking import with_rank
 from tallyforge.session import cut
-
-CORRUPT = "_corrupt_record"
-ROW_BITS = 33  # row part of monotonically_increasing_id
+from tallyforge.sources.records import CORRUPT, read_csv
 
 
 @dataclass(frozen=True)
@@ -40,36 +38,6 @@ LEDGER = Contract("order_id", (
 OPTIONAL_KINDS = ("ref", "tax")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, with the row's place in the input as ``ingest_seq``.
-
-    The place is (file, byte block, row in block), packed into one number so
-    that later steps can compare it without a global sort.
-    """
-    reader = spark.read.option("header", True).option("encoding", encoding)
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    raw = (
-        reader.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-        .select(
-            *names, CORRUPT,
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
-    )
-    # One row per input block: small next to the data, whatever its size.
-    blocks = raw.select("_file", "_block").distinct().withColumn(
-        "_nth", F.row_number().over(Window.orderBy("_file", "_block")))
-    in_block = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return raw.join(blocks, ["_file", "_block"]).select(
-        *names, CORRUPT, F.col("_file").alias("source_file"),
-        (F.shiftleft(F.col("_nth").cast("long"), ROW_BITS) + in_block).alias("ingest_seq"))
-
-
 def _read_value(c: Column, kind: str) -> Column:
     if kind == "date":
         return money.parse_date(c)
@@ -92,8 +60,8 @@ def _complaint(c: Column, value: Column, name: str, kind: str) -> Column:
     return F.when(wrong & blank, empty).when(wrong, bad)
 
 
-def check(raw: DataFrame, contract: Contract) -> DataFrame:
-    """Typed columns plus ``errors``; one narrow projection over the raw text."""
+def check(raw: DataFrame, contract: Contract, keep: tuple[str, ...] = ("source_file",)) -> DataFrame:
+    """Typed columns plus ``errors`` and those of ``keep``; one narrow projection over the raw text."""
     present = set(raw.columns)
     out, errors = [], []
     for name, kind in contract.columns:
@@ -113,7 +81,7 @@ def check(raw: DataFrame, contract: Contract) -> DataFrame:
             F.when(F.col(CORRUPT).isNotNull() & F.col(last).isNull(), F.lit("row: Field required")))
     return raw.select(
         *out, F.col("ingest_seq"), F.array_compact(F.array(*errors)).alias("errors"),
-        *[c for c in ("source_file",) if c in present])
+        *[c for c in keep if c in present])
 
 
 @dataclass
@@ -138,8 +106,7 @@ def ingest(raw: DataFrame, contract: Contract) -> Ingested:
              F.count("*").alias("copies"))
         .select("first.*", "copies")
     )
-    checked = cut(
-        check(distinct, contract).join(distinct.select("ingest_seq", "copies"), "ingest_seq"), "checked")
+    checked = cut(check(distinct, contract, keep=("copies",)), "checked")
     valid = checked.filter(F.size("errors") == 0)
     names = [n for n, _ in contract.columns]
     rows = valid.groupBy(contract.key).agg(
