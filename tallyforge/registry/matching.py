@@ -15,6 +15,42 @@ from tallyforge.sources import tables as t
 PAIR = "SELECT settlement_id, order_id, rule_applied FROM {}"
 
 
+PAIRED = """(SELECT settlement_id, nullif(upper(trim(utr_reference)), '') AS a, nullif(upper(trim(customer_reference)), '') AS b,
+    trim(payer_account) AS c, trim(customer_name) AS d FROM bank JOIN ledger USING (ingest_seq)
+    WHERE customer_reference IS NOT NULL AND utr_reference IS NOT NULL)"""
+
+
+def _common(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts of up to 61 characters, one bit operation a character."""
+    full = f"((CAST(1 AS BIGINT) << CAST(length({a}) AS INTEGER)) - 1)"
+    places = (f"CAST(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = ch "
+              f"THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) ELSE 0 END)) AS BIGINT)")
+    steps = f"list_transform(string_split({b}, ''), lambda ch: {places})"
+    row = f"list_reduce({steps}, lambda r, x: ((r + (r & x)) | (r - (r & x))) & {full}, {full})"
+    return f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE length({a}) - bit_count({row}) END"
+
+
+def _ratio(a: str, b: str) -> str:
+    return (f"CASE WHEN length({a}) + length({b}) = 0 THEN CAST(1 AS DOUBLE) "
+            f"ELSE CAST(2 * ({_common(a, b)}) AS DOUBLE) / (length({a}) + length({b})) END")
+
+
+def _digits(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '[^0-9]', '', 'g'), '^0+', '')"
+
+
+def _windows_sql(rows: str) -> str:
+    """Best ratio of the shorter of a and b with the windows of the longer: full ones, and shorter ones cut off at either end."""
+    cut = lambda s, t: (
+        f"list_concat(list_transform(range(1, length({t}) - length({s}) + 2), lambda i: substr({t}, i, length({s}))), list_concat("
+        f"list_transform(range(1, length({s})), lambda i: substr({t}, 1, i)), "
+        f"list_transform(range(1, length({s})), lambda i: substr({t}, length({t}) - i + 1, i))))")
+    return f"""SELECT settlement_id, max({_ratio('s', 'w')}) AS best FROM (
+        SELECT settlement_id, s, unnest({cut('s', 't')}) AS w FROM (
+            SELECT settlement_id, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t
+            FROM {rows} UNION ALL SELECT settlement_id, b, a FROM {rows} WHERE length(a) = length(b))) GROUP BY 1"""
+
+
 def _bl(spark, d):
     return t.bank(spark, d), t.ledger(spark, d)
 
@@ -142,7 +178,23 @@ def register(reg: Registry):
     }.items():
         reg.add(name, lambda s, d, category=category: _candidate_class(s, d, category), _candidate_sql(category))
 
-    # Shortlist and decisions: string ratios have no SQL counterpart.
+    def waiting(s, d):
+        """Every seventh bank row found no adjudicator free."""
+        from tallyforge.operators import classify
+
+        free, top = _candidate_batch(s, d)
+        pending = free.filter(F.col("ingest_seq") % 7 == 0).select(
+            "settlement_id", F.concat(F.lit("No capacity for "), "settlement_id").alias("pending_reason"))
+        nothing = free.select("utr_reference").filter(F.lit(False))
+        return classify.classify_bank(free, nothing, top, pending).filter("category = 'PENDING_VERIFICATION'").select(
+            "record_id", "reason", "suggested_action", "priority", "is_exception")
+
+    reg.add("X0_pending_verification", waiting, with_ctes("""
+        SELECT settlement_id AS record_id, 'No capacity for ' || settlement_id AS reason,
+               'Awaiting AI verification capacity. Will resolve automatically on next run.' AS suggested_action,
+               'LOW' AS priority, false AS is_exception FROM bank WHERE ingest_seq % 7 = 0""", "bank"))
+
+    # Shortlist and decisions.
     def pairs_of(s, d):
         return t.bank(s, d).select("settlement_id", "ingest_seq", "utr_reference", "payer_account").join(
             t.ledger(s, d), "ingest_seq").filter("customer_reference is not null and utr_reference is not null")
@@ -151,18 +203,29 @@ def register(reg: Registry):
 
     up = lambda c: text.reference_key(F.col(c))
     reg.add("F1_indel_ratio", lambda s, d: pairs_of(s, d).select(
-        "settlement_id", F.round(similarity.indel_ratio(up("utr_reference"), up("customer_reference")), 4).alias("score")))
+        "settlement_id", F.round(similarity.indel_ratio(up("utr_reference"), up("customer_reference")), 4).alias("score")),
+        with_ctes(f"SELECT settlement_id, round({_ratio('a', 'b')}, 4) AS score FROM {PAIRED}", "bank", "ledger"))
     reg.add("F2_partial_ratio", lambda s, d: pairs_of(s, d).select(
-        "settlement_id", F.round(similarity.partial_ratio(up("utr_reference"), up("customer_reference")), 4).alias("score")))
+        "settlement_id", F.round(similarity.partial_ratio(up("utr_reference"), up("customer_reference")), 4).alias("score")),
+        with_ctes(f"""SELECT settlement_id, round(best, 4) AS score FROM {PAIRED} LEFT JOIN ({_windows_sql(PAIRED)}) USING (settlement_id)""",
+                  "bank", "ledger"))
     reg.add("F3_digit_ratio", lambda s, d: pairs_of(s, d).select(
         "settlement_id", F.round(similarity.indel_ratio(
-            text.digit_key(up("utr_reference")), text.digit_key(up("customer_reference"))), 4).alias("score")))
+            text.digit_key(up("utr_reference")), text.digit_key(up("customer_reference"))), 4).alias("score")),
+        with_ctes(f"""SELECT settlement_id, round({_ratio('p', 'q')}, 4) AS score
+            FROM (SELECT settlement_id, {_digits('a')} AS p, {_digits('b')} AS q FROM {PAIRED})""", "bank", "ledger"))
     reg.add("F4_reference_score", lambda s, d: pairs_of(s, d).select(
         "settlement_id",
-        F.round(shortlist.reference_score(up("utr_reference"), up("customer_reference")), 4).alias("score")))
+        F.round(shortlist.reference_score(up("utr_reference"), up("customer_reference")), 4).alias("score")),
+        with_ctes(f"""SELECT settlement_id, round(greatest({_ratio('a', 'b')}, best, CASE WHEN p <> '' AND q <> '' THEN {_ratio('p', 'q')} END), 4) AS score
+            FROM (SELECT settlement_id, a, b, {_digits('a')} AS p, {_digits('b')} AS q FROM {PAIRED})
+            LEFT JOIN ({_windows_sql(PAIRED)}) USING (settlement_id)""", "bank", "ledger"))
     reg.add("F5_token_sort_ratio", lambda s, d: pairs_of(s, d).select(
         "settlement_id",
-        F.round(shortlist.name_score(F.col("payer_account"), F.col("customer_name")), 4).alias("score")))
+        F.round(shortlist.name_score(F.col("payer_account"), F.col("customer_name")), 4).alias("score")),
+        with_ctes(f"""SELECT settlement_id, CASE WHEN coalesce(p, '') <> '' AND coalesce(q, '') <> '' THEN round({_ratio('p', 'q')}, 4) ELSE 0 END AS score
+            FROM (SELECT settlement_id, array_to_string(list_sort(regexp_split_to_array(c, '\\s+')), ' ') AS p,
+                         array_to_string(list_sort(regexp_split_to_array(d, '\\s+')), ' ') AS q FROM {PAIRED})""", "bank", "ledger"))
 
     def neighbours(s, d):
         e = t.table(s, d, "embeddings")

@@ -218,11 +218,17 @@ CTES.update({
         SELECT settlement_id, order_id, 'GATEWAY_3WAY_TRIANGULATION_MATCH' AS rule_applied FROM (
             SELECT b.settlement_id, l.order_id,
                    row_number() OVER (PARTITION BY l.order_id ORDER BY b.date, b.settlement_id) AS rn
-            FROM bank b JOIN gateway g ON b.utr_reference = g.utr_reference OR b.settlement_id = g.payout_id
-                 OR b.utr_reference = g.payout_id OR contains(b.description, g.order_id)
-                 OR contains(b.description, g.payout_id) OR replace(b.settlement_id, 'STL', 'PAY') = g.payout_id
-                 OR replace(b.settlement_id, 'STL', 'PAYOUT') = g.payout_id
-            JOIN ledger l ON g.order_id = l.order_id
+            FROM (SELECT DISTINCT settlement_id, payout_id, order_id, net_payout FROM (
+                    SELECT settlement_id, 'U' || utr_reference AS link FROM bank
+                    UNION ALL SELECT settlement_id, 'P' || settlement_id FROM bank
+                    UNION ALL SELECT settlement_id, 'P' || utr_reference FROM bank
+                    UNION ALL SELECT settlement_id, 'P' || replace(settlement_id, 'STL', 'PAY') FROM bank
+                    UNION ALL SELECT settlement_id, 'P' || replace(settlement_id, 'STL', 'PAYOUT') FROM bank
+                    UNION ALL SELECT settlement_id, kind || unnest(regexp_extract_all(description, '[A-Za-z0-9]+'))
+                    FROM bank, (SELECT unnest(['P', 'O']) AS kind))
+                  JOIN (SELECT *, 'U' || utr_reference AS link FROM gateway UNION ALL SELECT *, 'P' || payout_id FROM gateway
+                        UNION ALL SELECT *, 'O' || order_id FROM gateway) USING (link)) g
+            JOIN bank b ON b.settlement_id = g.settlement_id JOIN ledger l ON g.order_id = l.order_id
             WHERE abs(b.net_amount - g.net_payout) <= 500
                OR abs(b.net_amount - {two_step('l.expected_amount')}) <= 500
                OR abs(b.net_amount - (l.expected_amount - {mdr('l.expected_amount')})) <= 500

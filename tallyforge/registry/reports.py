@@ -290,8 +290,7 @@ def register(reg: Registry):
         lambda s, d: an.lookup_many(
             t.bank(s, d), views.exceptions(s, d).select(F.col("record_id").alias("settlement_id"))).select(
             "settlement_id", "net_amount"),
-        with_ctes("""SELECT settlement_id, net_amount FROM bank
-            WHERE settlement_id IN (SELECT record_id FROM exceptions)""", "exceptions"))
+        with_ctes("SELECT settlement_id, net_amount FROM free_bank", "free_bank"))
 
     def values(s, d):
         from tallyforge.functions import text
