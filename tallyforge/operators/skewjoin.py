@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyforge.session import cut
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only when the side has at most ``max_rows`` rows; else the plan decides."""
@@ -19,16 +21,19 @@ def salted_join(
 
     Keys above ``hot_rows`` are split into ``salts`` parts; only for those keys
     is the other side copied, once per part. All other keys join as usual, in
-    the same shuffle. Right and full joins are refused: unmatched copies of
-    the other side would come out once per part.
+    the same shuffle. The list of hot keys is written, counted and sent to all
+    tasks if it is small, so a hot key is not shuffled before it is salted; the
+    salt is drawn per row from a fixed seed, so equal rows spread as well.
+    Right and full joins are refused: unmatched copies of the other side would
+    come out once per part.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join keeps rows of the many side only, not {how}")
-    hot = many.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(
-        key, F.lit(True).alias("_hot"))
+    hot = broadcast_if_small(cut(many.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(
+        key, F.lit(True).alias("_hot")), "hot-keys"))
     is_hot = F.coalesce("_hot", F.lit(False))
     left = many.join(hot, key, "left").withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")).otherwise(0)
+        "_salt", F.when(is_hot, F.floor(F.rand(11) * salts).cast("int")).otherwise(0)
     ).drop("_hot")
     right = one.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))

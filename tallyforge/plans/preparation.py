@@ -157,20 +157,29 @@ def stratified_split(df: DataFrame, id_column: str, stratum: str, test_size: flo
 def fixed_chunks(c: Column, size: int = 500, overlap: int = 50) -> Column:
     """V7. Array of overlapping pieces of at most ``size`` characters; a piece that the text goes on after ends at its last
     space, if that lies beyond 80 % of the size."""
-    total = F.length(c)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(total / (int(size * 0.8) - overlap)).cast("int")))
+    # A place far inside a text is found by counting characters from its beginning; so a long stretch is cut out first, and
+    # the pieces are cut from that.
+    total, stretch, least = F.length(c), 64 * size, max(1, int(size * 0.8) - overlap)
 
-    def step(acc: Column, _: Column) -> Column:
-        window = F.substring(c, acc["next"] + 1, F.lit(size))
+    def piece(acc: Column, _: Column, part: Column, base: Column) -> Column:
+        at, rest = acc["next"], F.length(part)
+        window = F.substring(part, at + 1, F.lit(size))
         space = F.instr(F.reverse(window), " ")
-        early = (acc["next"] + size < total) & (space > 0) & (size - space > size * 0.8)
+        early = (base + at + size < total) & (space > 0) & (size - space > size * 0.8)
         length = F.when(early, size - space).otherwise(size)
-        piece = F.regexp_replace(F.substring(window, F.lit(1), length), r"^\s+|\s+$", "")
-        grown = F.struct((acc["next"] + length - overlap).alias("next"), F.concat(acc["pieces"], F.array(piece)).alias("pieces"))
-        return F.when(acc["next"] < total, grown).otherwise(acc)
+        text = F.regexp_replace(F.substring(window, F.lit(1), length), r"^\s+|\s+$", "")
+        grown = F.struct((at + length - overlap).alias("next"), F.concat(acc["pieces"], F.array(text)).alias("pieces"))
+        return F.when((base + at < total) & ((at + size <= rest) | (base + rest >= total)), grown).otherwise(acc)
+
+    def cut_out(acc: Column, _: Column) -> Column:
+        inner = F.sequence(F.lit(1), F.lit(stretch // least + 1))
+        return F.aggregate(F.array(F.substring(c, acc["next"] + 1, F.lit(stretch))), acc, lambda a, part: F.aggregate(
+            inner, start, lambda x, i: piece(x, i, part, a["next"]), lambda x: F.struct(
+                (a["next"] + x["next"]).alias("next"), F.concat(a["pieces"], x["pieces"]).alias("pieces"))))
 
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("pieces"))
-    return F.aggregate(steps, start, step)["pieces"]
+    stretches = F.sequence(F.lit(1), F.floor(total / (stretch - size - overlap)).cast("int") + 1)
+    return F.aggregate(stretches, start, cut_out)["pieces"]
 
 
 def sentence_chunks(c: Column, per_chunk: int = 5, overlap: int = 1) -> Column:
