@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,32 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application, so that they need not be started beside it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="tallyforge-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "tallyforge.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for where, _, names in sorted(os.walk(package)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(where, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application has written to the checkpoint folder; its tables cannot be read any more."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}")
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder shared by driver and executors, as named in ``spark.checkpoint.dir``.
 
@@ -43,6 +72,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="tallyforge-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
