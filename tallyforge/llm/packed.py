@@ -31,3 +31,10 @@ def by_bucket(bucket: np.ndarray):
     order = np.argsort(bucket, kind="stable")
     values, first = np.unique(bucket[order], return_index=True)
     return zip(values.tolist(), np.split(order, first[1:])) if len(values) else ()
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
