@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm import wordscan
+from tallyforge.llm.packed import fresh
 from tallyforge.session import cut
 
 #: Least similarity: one minus the edit distance by the item's length, both in characters of the normalised words.
@@ -196,11 +197,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     table on either side gives no rows.
     """
     kinds = {"doc": docs.schema[id_col].dataType.simpleString(), "item": benchmark.schema[item_col].dataType.simpleString()}
-    schema = f"`{id_col}` {kinds['doc']}, `{item_col}` {kinds['item']}, similarity double"
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = 1 + int(size // block_bytes)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Ids travel as text, which keeps large ones beside nulls.
+    source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def search(block: int) -> DataFrame:
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
@@ -215,9 +216,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     ids = list(part["id"])
                     out = [(ids[d], known.items[k][0], s) for d, k, s in known.matches(list(part["text"]), similarity)]
                     if out:
-                        yield pd.DataFrame(out, columns=[id_col, item_col, "similarity"])
+                        yield pd.DataFrame(out, columns=["doc", "item", "similarity"])
 
-        return source.mapInPandas(run, schema)
+        found = source.mapInPandas(run, "doc string, item string, similarity double")
+        return found.select(F.col("doc").cast(kinds["doc"]).alias(id_col), F.col("item").cast(kinds["item"]).alias(item_col), "similarity")
 
     out = search(0)
     for block in range(1, blocks):
@@ -225,7 +227,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage; rows with a null id stay."""
-    hit = cut(contaminated(docs, benchmark, id_col, **options), "leaks").select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage, with their columns, whatever their names.
+
+    Rows count, not ids: of rows with one id, or without, those go whose own text holds a passage; of equal rows all or none.
+    No benchmark: all rows stay. No rows: no rows.
+    """
+    row = fresh("_row", docs.columns)
+    marked = cut(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
+    hit = cut(contaminated(marked, benchmark, row, text_col, **options).select(row).distinct(), "leaks")
+    return marked.join(hit, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

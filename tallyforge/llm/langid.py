@@ -7,11 +7,11 @@ Nyström map, kernel ridge regression one weight vector per language, and texts
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 DIMENSIONS = 1 << 14
@@ -23,7 +23,9 @@ RIDGE = 1e-2
 #: Texts scored by one matrix product.
 BATCH = 256
 _SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters as Unicode has them, alike here and in column expressions.
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -100,20 +102,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Learns from text and language of the rows outside the held-out fold; null languages and texts without a letter
     are not used. Without any row the model answers "und"."""
-    known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)).select(
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((0, DIMENSIONS), bool), np.zeros((0, 0), np.float32))
     share = {k: min(1.0, sample_rows / len(counts) / n) for k, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 40)))])
-    drawn = known.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40)) < limit[F.col("lang")])
+    drawn = known.filter(F.pmod(F.xxhash64("id", "text", "lang"), F.lit(1 << 40)) < limit[F.col("lang")])
 
     def flagged(batches):
         for pdf in batches:
             yield pd.DataFrame({"lang": pdf["lang"], "flags": [np.packbits(presence(t)).tobytes() for t in pdf["text"]]})
 
-    drawn = drawn.orderBy(F.xxhash64("text", F.lit(1))).limit(2 * sample_rows + 100 * len(counts))
+    drawn = drawn.orderBy(F.xxhash64("id", "text", F.lit(1))).limit(2 * sample_rows + 100 * len(counts))
     rows = sorted(drawn.mapInPandas(flagged, "lang string, flags binary").collect(), key=lambda r: (bytes(r["flags"]), r["lang"]))
     order = np.random.default_rng(0).permutation(len(rows))
     flags = np.array([np.unpackbits(np.frombuffer(rows[i]["flags"], np.uint8)).astype(bool) for i in order]).reshape(-1, DIMENSIONS)
@@ -131,5 +133,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                                 "score": [float(f[1]) for f in found]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    # Ids travel as text, which keeps large ones beside nulls.
+    return docs.select(F.col(id_col).cast("string").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInPandas(
+        run, "id string, held_out boolean, lang_pred string, score double").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

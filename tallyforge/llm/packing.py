@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     """(id, piece, start, length, ids_crc32[, ids]); a null text has only the end id."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def run(batches):  # ids travel as text, which keeps large ones beside nulls
         codes, end = encoder(tokenizer), np.array([END], "<u4").tobytes()
         for pdf in batches:
             out = []
@@ -84,11 +84,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     part = ids[4 * start:4 * (start + length)]
                     row = (doc, i, start, length, zlib.crc32(part))
                     out.append(row + (np.frombuffer(part, "<u4").astype("int32"),) if keep_ids else row)
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "ids"][:5 + keep_ids]).astype(
-                {"id": pdf["id"].dtype})
+            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "ids"][:5 + keep_ids])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"id {kind}, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+        run, "id string, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * keep_ids).withColumn(
+        "id", F.col("id").cast(kind))
 
 
 def _pair(free: np.ndarray, total: int, top: int) -> tuple[int, tuple[int, int]]:
@@ -227,5 +227,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     kept = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.schema)
-    out = ranked.select(*kept, "rank").mapInPandas(place, schema + ", sequence_id long, offset long")
+    kind, schema = cuts.schema["id"].dataType.simpleString(), schema.replace(f"id {cuts.schema['id'].dataType.simpleString()}", "id string", 1)
+    out = ranked.select(*kept, "rank").withColumn("id", F.col("id").cast("string")).mapInPandas(
+        place, schema + ", sequence_id long, offset long").withColumn("id", F.col("id").cast(kind))
     return out.withColumn("length", F.col("length").cast("long")).withColumnRenamed("id", id_col)

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyforge.llm.packed import fresh
+
 ROUNDS = 8
 _DAYS = (189, 773)  # their product is the days of the 400-year calendar cycle
 _FIRST_DAY = "1800-01-01"
@@ -127,40 +129,81 @@ _USUAL = r"^(?:4[0-9]{15}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|6[0-9]{15}|3[47][0-9]{
 _KNOWN = r"^(?:4(?:[0-9]{12}|[0-9]{18})|[56][0-9]{11,18}|3[068][0-9]{14,17})$"
 
 
-def _cards(m: Column) -> Column:
-    """The cards in a run of digit groups, as structs (i, k): k whole groups after the first i.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; inside lambdas an expression is worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    13 to 19 digits that pass the Luhn check; groups of fewer than three digits count only if all the run is the card.
-    Of overlapping ones the more usual form, the longer, the earlier is taken.
-    """
-    tokens = F.split(m, "[ -]")
+
+def _spans(tokens: Column) -> Column:
+    """The valid cards in a run of digit groups, by their begin: structs (i, k, rank, size), k whole groups after the first i."""
     n = F.size(tokens)
-    joined = lambda i, k: F.array_join(F.slice(tokens, i + 1, k), "")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: F.struct(i.alias("i"), k.alias("k"), joined(i, k).alias("d")))))
-    tidy = lambda c: (c["k"] == n) | F.forall(F.slice(tokens, c["i"] + 1, c["k"]), lambda t: F.length(t) >= 3)
-    valid = F.filter(spans, lambda c: F.when(F.length(c["d"]).between(13, 19), F.when(tidy(c), luhn_digit(_before_last(c["d"])) == F.substring(
-        c["d"], -1, 1)).otherwise(False)).otherwise(False))
-    order = F.array_sort(F.transform(valid, lambda c: F.struct(
-        F.when(c["d"].rlike(_USUAL), 1).when(c["d"].rlike(_KNOWN), 2).otherwise(3).alias("rank"), (-F.length(c["d"])).alias("less"), c["i"].alias("i"),
-        c["k"].alias("k"))))
-    none = F.array().cast("array<struct<i:int,k:int>>")
-    return F.aggregate(order, none, lambda acc, c: F.when(
-        F.exists(acc, lambda a: (a["i"] < c["i"] + c["k"]) & (c["i"] < a["i"] + a["k"])), acc).otherwise(
-        F.concat(acc, F.array(F.struct(c["i"].alias("i"), c["k"].alias("k"))))))
+
+    def span(i: Column, k: Column) -> Column:
+        return F.struct(i.alias("i"), k.alias("k"), F.regexp_replace(F.array_join(F.slice(tokens, i + 1, k), ""), "[ -]", "").alias("d"))
+
+    # Groups of three digits and more: six of them make 18 or more, a seventh is too much.
+    tidy = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(
+        F.transform(F.sequence(F.lit(1), F.least(F.lit(6), n - i)), lambda k: span(i, k)),
+        lambda c: F.length(c["d"]).between(13, 19) & F.forall(F.slice(tokens, c["i"] + 1, c["k"]), lambda t: t.rlike("^[0-9]{3}")))))
+    # The run itself may have shorter groups; then no tidy span is all of it.
+    untidy = (n <= 19) & F.exists(tokens, lambda t: ~t.rlike("^[0-9]{3}"))
+    whole = F.when(untidy, F.filter(F.array(span(F.lit(0), n)), lambda c: F.length(c["d"]).between(13, 19)))
+    valid = F.filter(F.concat(tidy, F.coalesce(whole, F.array().cast("array<struct<i:int,k:int,d:string>>"))), lambda c: luhn_digit(_before_last(c["d"])) == F.substring(c["d"], -1, 1))
+    rank = lambda d: F.when(d.rlike(_USUAL), 1).when(d.rlike(_KNOWN), 2).otherwise(3)
+    return F.array_sort(F.transform(valid, lambda c: F.struct(
+        c["i"].alias("i"), c["k"].alias("k"), rank(c["d"]).alias("rank"), F.length(c["d"]).alias("size"))))
+
+
+_SPAN = "struct<i:int,k:int,rank:int,size:int>"
+#: Spans whose choices are gathered together, before they join the others.
+_TOGETHER = 128
+
+
+def _chosen(spans: Column) -> Column:
+    """Spans that do not overlap, in order: of two neighbours that do, the more usual form, the longer, the earlier stays.
+
+    One sweep: the last span is held until one comes that lies behind it; one that beats it takes its place, and what it had
+    beaten comes back if it lies before the new one.
+    """
+    none, nothing = F.lit(None).cast(_SPAN), F.array().cast(f"array<{_SPAN}>")
+    state = lambda out, held, beaten: F.struct(out.alias("out"), held.alias("held"), beaten.alias("beaten"))
+    end = lambda c: c["i"] + c["k"]
+    better = lambda a, b: (a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["size"] > b["size"]))
+
+    def step(acc: Column, c: Column) -> Column:
+        held, beaten = acc["held"], acc["beaten"]
+        back = beaten.isNotNull() & (end(beaten) <= c["i"])
+        return (F.when(held.isNull(), state(acc["out"], c, none))
+                .when(end(held) <= c["i"], state(F.concat(acc["out"], F.array(held)), c, none))
+                .when(better(c, held), state(F.when(back, F.concat(acc["out"], F.array(beaten))).otherwise(acc["out"]), c, F.when(back, none).otherwise(held)))
+                .otherwise(acc))
+
+    def part(acc: Column, at: Column) -> Column:
+        return F.aggregate(F.slice(spans, at, _TOGETHER), state(nothing, acc["held"], acc["beaten"]), step,
+                           lambda x: state(F.concat(acc["out"], x["out"]), x["held"], x["beaten"]))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(_TOGETHER)), state(nothing, none, none), part,
+                       lambda x: F.concat(x["out"], F.filter(F.array(x["held"]), lambda c: c.isNotNull())))
 
 
 def _card(m: Column, key: str) -> Column:
-    tokens = F.split(m, "[ -]")
+    """struct(new, n): the run with its cards replaced, and how many there are; the pieces are joined once."""
+    tokens = F.split(m, "(?<=[ -])")
+
+    def one(card: Column) -> Column:
+        bare = F.regexp_replace(card, "[ -]+$", "")
+        return _let(F.concat(F.substring(bare, 1, 1), permuted(F.substring(bare, F.lit(2), F.length(bare) - 2), key, "card")),
+                    lambda body: F.concat(body, luhn_digit(body), F.regexp_extract(card, "[ -]*$", 0)))
 
-    def replaced(acc: Column, c: Column) -> Column:
-        before = F.when(c["i"] > 0, F.length(F.array_join(F.slice(tokens, F.lit(1), c["i"]), " ")) + 1).otherwise(0)
-        size = F.length(F.array_join(F.slice(tokens, c["i"] + 1, c["k"]), " "))
-        one = F.substring(m, before + 1, size)
-        body = F.concat(F.substring(one, 1, 1), permuted(F.substring(one, F.lit(2), F.length(one) - 2), key, "card"))
-        return F.concat(F.substring(acc, F.lit(1), before), body, luhn_digit(body), F.substring(acc, before + size + 1, F.length(acc)))
+    def joined(t: Column, cards: Column) -> Column:
+        before = lambda j: F.when(j == 0, F.lit(0)).otherwise(
+            F.get(cards, j - 1)["i"] + F.get(cards, j - 1)["k"])
+        text = lambda at, n: F.array_join(F.slice(t, at + 1, n), "")
+        pieces = F.transform(cards, lambda c, j: F.concat(text(before(j), c["i"] - before(j)), one(text(c["i"], c["k"]))))
+        last = before(F.size(cards))
+        return F.struct(F.concat(F.array_join(pieces, ""), text(last, F.size(t) - last)).alias("new"), F.size(cards).alias("n"))
 
-    return F.aggregate(_cards(m), m, replaced)
+    return _let(tokens, lambda t: _let(_spans(t), lambda spans: _let(_chosen(spans), lambda cards: joined(t, cards))))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -227,44 +270,49 @@ def _phone_abroad(m: Column, key: str) -> Column:
     return F.concat(code, permuted(F.substring(m, F.length(code) + 1, F.length(m)), key, "phone"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one found value; a value that fails its check (or a date beyond 1800 to 2199) stays as it is."""
+def _replaced(m: Column, key: str) -> Column:
+    """struct(new, n): the pseudonym of one found value, and how many values that replaces if it differs."""
     whole = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
-    return (F.when(whole("email"), _email(m, key))
-            .when(whole("secret"), _secret(m, key))
-            .when(whole("access_key"), F.concat(F.substring(m, 1, 4), permuted(F.substring(m, F.lit(5), F.length(m)), key, "access_key")))
-            .when(whole("iban"), _iban(m, key))
-            .when(whole("iban_spaced"), _iban_spaced(m, key))
-            .when(whole("phone"), _phone(m, key))
-            .when(whole("phone_abroad"), _phone_abroad(m, key))
-            .when(whole("phone_local"), _walked(m, key, "phone", PHONE_LOCAL))
-            .when(whole("address"), _address(m, key))
-            .when(whole("date"), _date(m, key))
-            .when(whole("date_slashes"), _date_of(m, key, DATES["date_slashes"][1]))
-            .when(whole("date_points"), _date_of(m, key, DATES["date_points"][1]))
-            .when(whole("date_day_first"), _date_of(m, key, DATES["date_day_first"][1]))
-            .when(whole("ssn"), _walked(m, key, "ssn", SSN))
+    one = lambda new: F.struct(new.alias("new"), F.lit(1).alias("n"))
+    return (F.when(whole("email"), one(_email(m, key)))
+            .when(whole("secret"), one(_secret(m, key)))
+            .when(whole("access_key"), one(F.concat(F.substring(m, 1, 4), permuted(F.substring(m, F.lit(5), F.length(m)), key, "access_key"))))
+            .when(whole("iban"), one(_iban(m, key)))
+            .when(whole("iban_spaced"), one(_iban_spaced(m, key)))
+            .when(whole("phone"), one(_phone(m, key)))
+            .when(whole("phone_abroad"), one(_phone_abroad(m, key)))
+            .when(whole("phone_local"), one(_walked(m, key, "phone", PHONE_LOCAL)))
+            .when(whole("address"), one(_address(m, key)))
+            .when(whole("date"), one(_date(m, key)))
+            .when(whole("date_slashes"), one(_date_of(m, key, DATES["date_slashes"][1])))
+            .when(whole("date_points"), one(_date_of(m, key, DATES["date_points"][1])))
+            .when(whole("date_day_first"), one(_date_of(m, key, DATES["date_day_first"][1])))
+            .when(whole("ssn"), one(_walked(m, key, "ssn", SSN)))
             .otherwise(_card(m, key)))
 
 
+def pseudonym(m: Column, key: str) -> Column:
+    """The pseudonym of one found value; a value that fails its check (or a date beyond 1800 to 2199) stays as it is."""
+    return _replaced(m, key)["new"]
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with the values in ``text_col`` replaced, row by row; no other column changes.
+    """``docs`` with the values in ``text_col`` replaced, row by row; no other column changes, whatever its name.
 
     ``count_col``, if given, holds the number of replaced values (null texts: 0). Texts without values, empty and null
     texts stay as they are. Domains of addresses, country codes, issuer digits and key names stay, as parts of the format.
     """
-    text = F.col(f"`{text_col}`")
+    text, name = F.col(f"`{text_col}`"), fresh("_pairs", docs.columns)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    pairs = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
+    pairs = F.transform(found, lambda m: F.struct(m.alias("old"), _replaced(m, key).alias("by")))
     between = F.split(text, PATTERN, -1)
-    glue = F.transform(F.arrays_zip(between.alias("gap"), F.col("_pairs").alias("pair")),
-                       lambda z: F.concat(z["gap"], F.coalesce(z["pair"]["new"], F.lit(""))))
+    glue = F.transform(F.arrays_zip(between.alias("gap"), F.col(name).alias("pair")),
+                       lambda z: F.concat(z["gap"], F.coalesce(z["pair"]["by"]["new"], F.lit(""))))
     has = text.isNotNull() & text.rlike(PATTERN)
-    step = docs.withColumn("_pairs", F.when(has, pairs))
-    new = F.when(F.col("_pairs").isNotNull(), F.array_join(glue, "")).otherwise(text).alias(text_col)
+    step = docs.withColumn(name, F.when(has, pairs))
+    new = F.when(F.col(name).isNotNull(), F.array_join(glue, "")).otherwise(text).alias(text_col)
     out = [new if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
     if count_col:
-        times = lambda p: F.when(p["old"].rlike("^[0-9][0-9 -]{12,}$"), F.size(_cards(p["old"]))).otherwise(1)
-        changed = F.aggregate(F.filter(F.col("_pairs"), lambda p: p["old"] != p["new"]), F.lit(0), lambda a, p: a + times(p))
-        out.append(F.coalesce(F.when(F.col("_pairs").isNotNull(), changed), F.lit(0)).alias(count_col))
+        changed = F.aggregate(F.filter(F.col(name), lambda p: p["old"] != p["by"]["new"]), F.lit(0), lambda a, p: a + p["by"]["n"])
+        out.append(F.coalesce(F.when(F.col(name).isNotNull(), changed), F.lit(0)).alias(count_col))
     return step.select(*out)

@@ -14,9 +14,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge.llm.components import components
+from tallyforge.llm.packed import fresh
 from tallyforge.session import cut
 
 SHINGLE = 4
@@ -48,13 +49,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, fp) for every row, in the partitions of the input."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), _fingerprint(F.col(text_col), width).alias("fp"))
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "fp": pdf["text"].map(lambda t: fingerprint(t, width)).astype("int64")})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+def _fingerprint(text: Column, width: int) -> Column:
+    """Only texts go to the workers, so ids stay what they are."""
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, width)).astype("int64")
+
+    return of(text)
 
 
 def _segments(distance: int) -> list[int]:
@@ -197,6 +202,13 @@ def links(classes: DataFrame, distance: int = DISTANCE, limit: int = GROUP_ROWS)
     return found
 
 
+def _components_of(prints: DataFrame, distance: int, limit: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of ``prints``; linked ones have one root."""
+    classes = cut(prints.select("fp").distinct(), "classes")
+    label = components(links(classes, distance, limit))
+    return classes.join(label, classes["fp"] == label["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                     distance: int = DISTANCE, limit: int = GROUP_ROWS) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
@@ -207,18 +219,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component has no other. An empty table gives no rows; extra columns are ignored.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width), "prints")
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    label = components(links(classes, distance, limit))
-    rooted = classes.join(label, classes["fp"] == label["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    first = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "first-ids")
+    rooted = first.join(_components_of(prints, distance, limit), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, distance: int = DISTANCE,
+                limit: int = GROUP_ROWS) -> DataFrame:
+    """One row of every component, that of the smallest id; columns as in ``docs``, whatever their names.
+
+    Rows count, not ids: rows of one id with other texts are judged each by its own text, and of equal rows one stays. A null
+    id comes after all others. Null texts are a component with texts without words. No rows: no rows.
+    """
+    row, fp = fresh("_row", docs.columns), fresh("_fp", docs.columns)
+    marked = cut(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, _fingerprint(F.col(f"`{text_col}`"), width)), "marked")
+    rooted = _components_of(marked.select(F.col(fp).alias("fp")), distance, limit)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    by_print = marked.select(F.col(fp).alias("fp"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).groupBy("fp").agg(first.alias("first"))
+    kept = by_print.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -63,18 +63,19 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, windo
     def run(batches):
         number, ids, texts, size = TaskContext.get().partitionId() << 33, [], [], 0
         for pdf in batches:
-            for doc, text in zip(pdf["id"].astype(object), pdf["text"]):
+            for doc, text in zip(pdf["id"], pdf["text"]):
                 norm = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
                 if ids and size + len(norm) > block_bytes:
                     yield frame(number, ids, texts, size)
                     number, ids, texts, size = number + 1, [], [], 0
-                ids.append(None if pd.isna(doc) else doc)
+                ids.append(doc)
                 texts.append(norm)
                 size += len(norm)
         if ids:
             yield frame(number, ids, texts, size)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    # Ids travel as text, which keeps large ones beside nulls.
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(
         run, "block long, bytes long, data binary, sample binary")
 
 
@@ -311,6 +312,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_block = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))
     joined = blocks.select("block", "data").join(by_block, "block", "left").select("data", "answers")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInPandas(_remove(window, keep_text, hot), f"id {kind}, n_words long, n_removed long" + ", kept string" * keep_text
+    out = joined.mapInPandas(_remove(window, keep_text, hot), "id string, n_words long, n_removed long" + ", kept string" * keep_text
                              + ", kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -98,7 +98,10 @@ def _filed(rows: DataFrame, pivots: np.ndarray, longest: float, lifted: bool, si
 
 
 def _search(pairs: DataFrame, index: DataFrame, queries: DataFrame, width: int, k: int, exact: bool) -> DataFrame:
-    """(query_id, vec_id, score): the k best of every annulus for every query of a pair, if at least the floor so far."""
+    """(q_block, place, query_id, vec_id, score): the k best of every annulus for every query of a pair, if at least the floor so far.
+
+    A query is known by its block and its place there, so that two queries of one id have lists of their own.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -109,25 +112,27 @@ def _search(pairs: DataFrame, index: DataFrame, queries: DataFrame, width: int,
                     q_ids, q = np.frombuffer(m["q_ids"], np.int64), np.frombuffer(m["q_vectors"]).reshape(-1, width)
                     floors = np.frombuffer(m["floors"]) if m["floors"] else np.full(len(q_ids), -math.inf)
                     scores = _products(q, x, exact)
-                    for q_id, row, floor in zip(q_ids.tolist(), scores, floors.tolist()):
+                    for place, (q_id, row, floor) in enumerate(zip(q_ids.tolist(), scores, floors.tolist())):
                         at = np.flatnonzero((ids != q_id) & (row >= floor))
-                        if len(at) > k:
+                        if len(at) > k and not exact:  # whole numbers beyond what doubles hold
+                            at = np.array(sorted(at.tolist(), key=lambda i: (-row[i], ids[i]))[:k])
+                        elif len(at) > k:
                             kth = np.partition(row[at].astype(float), len(at) - k)[len(at) - k]
                             at = at[row[at] >= kth]
                             at = at[np.lexsort((ids[at], -row[at].astype(float)))][:k]
-                        out += [(q_id, i, int(s)) for i, s in zip(ids[at].tolist(), row[at].tolist())]
+                        out += [(m["q_block"], place, q_id, i, int(s)) for i, s in zip(ids[at].tolist(), row[at].tolist())]
             if out:
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                yield pd.DataFrame(out, columns=["q_block", "place", "query_id", "vec_id", "score"])
 
     order = Window.partitionBy("block").orderBy(F.xxhash64("q_block"), "q_block")  # the pairs are distinct; the hash only deals out turns
     met = pairs.withColumn("turn", F.floor((F.row_number().over(order) - 1) / MEETING)).join(queries, "q_block")
-    met = met.groupBy("block", "turn").agg(F.collect_list(F.struct("q_ids", "q_vectors", "floors")).alias("met"))
+    met = met.groupBy("block", "turn").agg(F.collect_list(F.struct("q_block", "q_ids", "q_vectors", "floors")).alias("met"))
     return met.join(index.select("block", "ids", "vectors"), "block").select("ids", "vectors", "met").mapInPandas(
-        run, "query_id long, vec_id long, score long")
+        run, "q_block long, place int, query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q_block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -135,10 +140,11 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
            pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of the largest integer inner product, ties to the smaller id.
 
-    Candidates with the query's own id do not count. Null ids, null vectors and vectors with null or non-finite components
+    Candidates with the query's own id do not count. Equal query rows are one query; queries of one id and other vectors have a
+    list each. Equal candidate rows are listed each. Null ids, null vectors and vectors with null or non-finite components
     take no part; shorter vectors count as filled with zeros. Fewer candidates give fewer rows, no candidates none.
     """
-    rows, asked = cut(scaled(vectors, id_col, vec_col), "vectors"), cut(scaled(queries, id_col, vec_col), "asked")
+    rows, asked = cut(scaled(vectors, id_col, vec_col), "vectors"), cut(scaled(queries, id_col, vec_col).dropDuplicates(["id", "v"]), "asked")
     both = rows.select("v").unionByName(asked.select("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     width, longest = both.agg(F.max(F.size("v")), F.max(norm)).first()
@@ -160,15 +166,17 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
         "turn", F.row_number().over(Window.partitionBy("q_block").orderBy(gap, F.desc("high"), "block"))).filter("turn <= 2")
     start = queries.withColumn("floors", F.lit(None).cast("binary"))
     found = _best(_search(first.select("q_block", "block"), index, start, width, k, exact), k)
-    floors = cut(found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor")), "floors")
+    floors = cut(found.groupBy("q_block", "place").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor")), "floors")
 
     def bounded(batches):
         for pdf in batches:
             out = []
             for q_block, ids, vectors, known in zip(pdf["q_block"], pdf["q_ids"], pdf["q_vectors"], pdf["known"]):
                 ids, q = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, width)
-                at = {m["query_id"]: m["floor"] for m in known if m["floor"] is not None} if known is not None else {}
-                floor = np.array([at.get(i, -math.inf) for i in ids.tolist()])
+                at = {m["place"]: m["floor"] for m in known if m["floor"] is not None} if known is not None else {}
+                floor = np.array([at.get(i, -math.inf) for i in range(len(ids))], float)
+                if not exact:
+                    floor = np.nextafter(floor, -math.inf)
                 square = (q**2).sum(1) + longest
                 bound = np.sqrt(np.maximum(square - 2 * floor, 0)) * (1 + 1e-9) + 1e-3
                 to = np.sqrt(np.maximum(square[:, None] - 2 * (q @ corner.T), 0))
@@ -176,10 +184,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
                     out.append((q_block, p, float((to[:, p] - bound).min()), float((to[:, p] + bound).max()), floor.tobytes()))
             yield pd.DataFrame(out, columns=["q_block", "pivot", "from", "upto", "floors"])
 
-    of_query = asked.select(F.col("block").alias("q_block"), "ids").mapInPandas(
-        lambda batches: (pd.DataFrame([(b, i) for b, x in zip(pdf["q_block"], pdf["ids"]) for i in np.frombuffer(x, np.int64).tolist()],
-                                      columns=["q_block", "query_id"]) for pdf in batches), "q_block long, query_id long")
-    known = of_query.join(floors, "query_id").groupBy("q_block").agg(F.collect_list(F.struct("query_id", "floor")).alias("known"))
+    known = floors.groupBy("q_block").agg(F.collect_list(F.struct("place", "floor")).alias("known"))
     spread = cut(queries.join(known, "q_block", "left").mapInPandas(
         bounded, "q_block long, pivot int, `from` double, upto double, floors binary"), "bounds")
     pairs = spread.join(rings, (spread["pivot"] == rings["pivot"]) & (rings["high"] >= spread["from"]) & (rings["low"] <= spread["upto"]))

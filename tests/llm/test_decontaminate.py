@@ -65,5 +65,16 @@ def test_edges(spark):
     bench = spark.createDataFrame([(7, "A, b c d e f g h!"), (8, None), (9, "?!"), (None, "a b c d e f g h")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()), key=repr)
     assert got == sorted([(3, 7), (3, 7), (3, None), (3, None), (None, 7), (None, None)], key=repr)
-    assert sorted(r["doc_id"] or 0 for r in dc.clean(docs, bench).collect()) == [0, 1, 2, 5]
+    assert sorted(r["doc_id"] for r in dc.clean(docs, bench).collect()) == [1, 2, 5]
     assert dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_clean_judges_rows(spark):
+    """Rows of one id, rows without an id, large ids beside them, and a column of the name used inside."""
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(1, "clean words here", "a"), (1, passage, "b"), (None, passage, "c"), (None, "other clean words", "d"), (2**60 + 1, "clean", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    bench = spark.createDataFrame([(2**60 + 3, passage), (None, "nothing of this")], "item_id long, text string")
+    assert sorted(r["_row"] for r in dc.clean(docs, bench).collect()) == ["a", "d", "e"] and dc.clean(docs, bench).columns == docs.columns
+    assert {r["item_id"] for r in dc.contaminated(docs, bench).collect()} == {2**60 + 3}
+    assert dc.clean(docs, bench.limit(0)).count() == 5

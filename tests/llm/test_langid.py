@@ -40,3 +40,12 @@ def test_held_out_accuracy_and_edges(spark):
     none = langid.train(docs.limit(0))
     assert {r["lang_pred"] for r in langid.predict(docs.limit(20), none).collect()} == {"und"}
     assert langid.predict(docs.limit(0), none).count() == 0
+
+
+def test_only_letters_make_a_language(spark):
+    """Numbers that are no letters give und, in learning and predicting; large ids beside a null stay."""
+    rows = [(i, "the words of one language " * 3, "en") for i in range(20)] + [(100 + i, "die Wörter einer anderen Sprache " * 3, "de") for i in range(20)]
+    rows += [(2**60 + 1, "½ ² Ⅷ 12", "en"), (None, "the words", "en"), (3000, "_ 5", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got[2**60 + 1] == "und" and got[3000] == "und" and got[None] == "en" and got[101] == "de"

@@ -81,3 +81,8 @@ def test_plan_takes_exact_complements():
     counts[[7, 3, 6, 2, 5, 1]] = [2, 2, 1, 2, 1, 5]
     made = packing.plan(counts, 10)
     assert sum(t for _, t in made) == 4 and all(sum(x) == 10 for x, _ in made)
+
+
+def test_large_ids_beside_a_null(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a b"), (None, "c"), (2**60 + 3, None)], "doc_id long, text string").repartition(1)
+    assert {r["doc_id"] for r in packing.pack(docs).collect()} == {2**60 + 1, None, 2**60 + 3}

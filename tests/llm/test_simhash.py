@@ -95,3 +95,17 @@ def test_components_of_a_path(spark):
     for r in components(path).collect():
         got.setdefault(r["root"], set()).add(r["node"])
     assert sorted(map(len, got.values())) == [2, 201]
+
+
+def test_one_of_each_judges_rows(spark):
+    """Repeated ids of other texts, equal rows, null ids, large ids beside them: one row of every component stays."""
+    x, y = "the first text has these words " * 3, "quite another text with other words in it " * 3
+    rows = [(1, x, "a"), (2, x, "b"), (0, y, "c"), (1, y, "d"), (None, x, "e"), (2**60 + 1, "large " * 9, "f"), (2**60 + 1, "large " * 9, "f"),
+            (None, "only one without id " * 4, "g"), (None, None, "h"), (5, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    kept = simhash.one_of_each(docs)
+    got = sorted((r["_row"], r["doc_id"]) for r in kept.collect() if r["_row"] != "g")
+    assert got == [("a", 1), ("c", 0), ("f", 2**60 + 1), ("i", 5)] and kept.filter("_row = 'g'").count() == 1
+    assert kept.columns == docs.columns and simhash.one_of_each(docs.limit(0)).count() == 0
+    found = {r["doc_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert found == {0, 1, 2, 5, None, 2**60 + 1}

@@ -32,7 +32,7 @@ def test_equals_model(spark, window, block):
     rows = [(i, text(rng.randrange(0, 150))) for i in range(60)]
     rows += [(100 + i, text(rng.randrange(20)) + "\n " + passage + "\t" + text(rng.randrange(20))) for i in range(20)]
     rows += [(200 + i, copy) for i in range(30)] + [(300, None), (301, ""), (302, " \n "), (None, "one"), (304, "same " * 400),
-             (305, "x" * 70000 + " " + passage), (306, "é　ß " * 60), (307, passage[:-1]), (307, passage[:-1])]
+             (305, "x" * 70000 + " " + passage), (306, "é　ß " * 60), (307, passage[:-1]), (307, passage[:-1]), (2**60 + 1, "large id")]
     df = spark.createDataFrame([(t, i, 1) for i, t in rows], "text string, doc_id long, n_words int").repartition(3)
     got = substrings.remove_repeats(df, window=window, block_bytes=block, bucket_bytes=4000, keep_text=True).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == model(rows, window)

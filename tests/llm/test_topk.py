@@ -50,4 +50,24 @@ def test_query_blocks_of_one_hash_all_search(spark):
                                     "q_block long, q_ids binary, q_vectors binary, floors binary")
     pairs = queries.select("q_block").withColumn("block", F.lit(7).cast("long"))
     found = topk._search(pairs, index, queries, 2, 10, True)
-    assert sorted(map(tuple, found.collect())) == [(10, 1, 3), (10, 2, 1), (20, 1, 1), (20, 2, 5)]
+    assert sorted(map(tuple, found.select("query_id", "vec_id", "score").collect())) == [(10, 1, 3), (10, 2, 1), (20, 1, 1), (20, 2, 5)]
+
+
+def test_repeated_query_rows(spark):
+    """Equal query rows are one query, two vectors of one id two; candidate rows count each."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)] + [(2**60 + 1, rng.normal(size=4).tolist())]
+    rows += [rows[0], rows[7], (0, [9.0, 1.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.search(df, df.filter("vec_id % 100 = 0")).collect()))
+    assert got == sorted(model([rows[0]] + rows[1:41] + [rows[42]], lambda i: i == 0) + [
+        r for r in model([rows[43]] + rows[1:41] + [rows[42]], lambda i: i == 0)])
+
+
+def test_beyond_doubles(spark):
+    """Scores beyond 2^53 that differ by one keep their order."""
+    big = float(2**20)
+    rows = [(0, [big, 1 / 1024])] + [(i, [big, i / 1024]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.search(df, df.filter("vec_id % 100 = 0")).collect()))
+    assert got == model(rows, lambda i: i == 0) and len({s for *_, s in got}) == 10
