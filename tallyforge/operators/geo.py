@@ -51,42 +51,64 @@ def within_radius(
         "l_id", "r_id", "metres")
 
 
+#: Targets that one searched list holds, about.
+LISTED = 4096
+
+
+def fitting_cell(targets: DataFrame, cell: float, k: int) -> tuple[float, int]:
+    """``cell`` halved until its fullest square would hold about ``k`` of (rx, ry), if they lay evenly in it; and their number."""
+    counts = targets.groupBy(F.floor(F.col("rx") / cell), F.floor(F.col("ry") / cell)).agg(F.count("*").alias("n"))
+    most, total = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    while most > k:
+        cell, most = cell / 2, most / 4
+    return cell, total
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, cell: float, settings: Settings = Settings()) -> DataFrame:
     """D67. The ``k`` nearest right points per left point in the plane: (l_id, r_id, distance, rank).
 
-    Both sides are (id, x, y). The search looks at square rings of cells around a
-    point and doubles the ring until the k-th hit lies inside it, so the result
-    is exact. Alike points are searched once, and of right points on one spot
-    only the first k by id can be hits.
+    Both sides are (id, x, y). The search looks at the square of cells around a
+    point and doubles it until the k-th hit lies inside it, so the result is
+    exact. ``cell`` is where the size begins at most: it is halved first to suit
+    how densely the right points lie. Each cell has one list of the right points
+    in and around it, cut into parts if it is long, and a point picks its best
+    from the list, so pairs are never rows. Alike points are searched once, and
+    of right points on one spot only the first k by id can be hits. Points
+    without finite coordinates take no part.
     """
-    spots = left.groupBy("x", "y").agg(F.count("*").alias("n")).select("x", "y")
+    finite = lambda x, y: (F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf"))
+    spots = left.filter(finite("x", "y")).groupBy("x", "y").agg(F.count("*").alias("n")).select("x", "y")
     targets = cut(
-        with_rank(right.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry")),
+        with_rank(right.filter(finite("x", "y")).select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry")),
                   ["rx", "ry"], ["r_id"], "_n", settings).filter(F.col("_n") <= k).drop("_n"), "targets")
-    total = targets.count()
-    open_spots, done, ring, size = cut(spots, "spots"), None, 1, cell
+    size, total = fitting_cell(targets, cell, k)
+    open_spots, done = cut(spots, "spots"), None
     while True:
         at = lambda c: F.floor(F.col(c) / size)
-        around = lambda c: F.explode(F.sequence(at(c) - ring, at(c) + ring))
-        boxed = targets.withColumns({"cx": at("rx"), "cy": at("ry")})
-        hits = (
-            open_spots.withColumn("cx", around("x")).withColumn("cy", around("y"))
-            .join(boxed, ["cx", "cy"])
-            .withColumn("distance", F.sqrt(F.pow(F.col("rx") - F.col("x"), 2) + F.pow(F.col("ry") - F.col("y"), 2))))
-        w = Window.partitionBy("x", "y").orderBy("distance", "r_id")
-        top = cut(hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-            "x", "y", "r_id", "distance", "rank"), "ring")
-        # Everything outside the ring is further away than ring * size.
-        inside = top.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter(
-            (F.col("n") >= min(k, total)) & (F.col("far") <= ring * size))
-        settled = top.join(inside.select("x", "y"), ["x", "y"], "left_semi")
+        around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
+        copied = targets.withColumn("cx", around("rx")).withColumn("cy", around("ry"))
+        longest = copied.groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        parts = longest // LISTED + 1
+        lists = copied.groupBy("cx", "cy", F.pmod(F.xxhash64("r_id"), F.lit(parts)).alias("part")).agg(
+            F.collect_list(F.struct("rx", "ry", "r_id")).alias("list")).drop("part")
+        away = lambda t: F.sqrt(F.pow(t["rx"] - F.col("x"), 2) + F.pow(t["ry"] - F.col("y"), 2))
+        best = lambda hits: F.slice(F.sort_array(hits), 1, k)
+        hits = open_spots.withColumns({"cx": at("x"), "cy": at("y")}).join(lists, ["cx", "cy"], "left").select(
+            "x", "y", best(F.transform("list", lambda t: F.struct(away(t).alias("distance"), t["r_id"].alias("r_id")))).alias("hits"))
+        if parts > 1:
+            hits = hits.groupBy("x", "y").agg(best(F.flatten(F.collect_list("hits"))).alias("hits"))
+        # Everything outside the square is further away than one cell.
+        inside = (F.size("hits") >= min(k, total)) & (F.get("hits", F.size("hits") - 1)["distance"] <= size)
+        ring = cut(hits.withColumn("settled", F.coalesce(inside, F.lit(False))), "ring")
+        settled = ring.filter("settled").select("x", "y", "hits")
         done = settled if done is None else done.unionByName(settled)
-        open_spots = cut(open_spots.join(inside.select("x", "y"), ["x", "y"], "left_anti"), "open-spots")
+        open_spots = ring.filter("not settled").select("x", "y")
         if total == 0 or open_spots.isEmpty():
             break
         size *= 2  # same number of cells, twice the reach
     return left.select(F.col("id").alias("l_id"), "x", "y").join(done, ["x", "y"]).select(
-        "l_id", "r_id", "distance", "rank")
+        "l_id", F.posexplode("hits").alias("rank", "hit")).select(
+        "l_id", "hit.r_id", "hit.distance", (F.col("rank") + 1).alias("rank"))
 
 
 def in_box(lng: Column, lat: Column, box: Sequence[float]) -> Column:
