@@ -100,10 +100,12 @@ def drop_near_copies(df: DataFrame, id_column: str, text: str, threshold: float
     """V4. Ids that stay when every text too similar to an earlier kept one is dropped.
 
     Texts with the same word set are one candidate. Candidates meet in MinHash
-    bands. Per round the texts that are first in all their bands are kept and
-    every other open text of those bands is compared with them by its exact
-    Jaccard similarity. So a band is compared with its kept texts only, never
-    pairwise, however many copies it holds.
+    bands. Per round the open texts of a band are compared with its first ones
+    by their exact Jaccard similarity; a text that is among the first of all its
+    bands and similar to no open one before it is kept, and what is similar to
+    it goes. In the first round that is one text of each band, so copies go
+    without being compared with each other; then it is eight times as many each
+    round, so that texts that share a band but are not similar take few rounds.
     """
     rows = spread(df.select(F.col(id_column).alias("id"), text.alias("text")))
     words = F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower("text"), r"\s+"), "")))
@@ -120,23 +122,33 @@ def drop_near_copies(df: DataFrame, id_column: str, text: str, threshold: float
     shared = cut(bands.join(crowded, ["band", "h"], "left_semi"), "shared-bands")
     kept = [empty, signed.select("id").join(shared.select("id").distinct(), "id", "left_anti")]
     sizes = unique.select("id", "words", F.size("words").alias("n"))
-    open_ = shared
+    a = sizes.select("id", F.col("words").alias("wa"), F.col("n").alias("na"))
+    b = sizes.select(F.col("id").alias("first_id"), F.col("words").alias("wb"), F.col("n").alias("nb"))
+    common = F.size(F.array_intersect("wa", "wb"))
+    likely = F.least("na", "nb") / F.greatest("na", "nb") >= threshold
+    open_, first, close = shared, 1, None
     while not open_.isEmpty():
-        heads = open_.groupBy("band", "h").agg(F.min("id").alias("head"))
-        standing = open_.join(heads, ["band", "h"]).groupBy("id").agg(F.bool_and(F.col("id") == F.col("head")).alias("first"))
-        new = cut(standing.filter("first").select("id"), "kept")
+        if close is None:
+            ranked = cut(with_rank(open_.distinct(), ["band", "h"], ["id"], "place"), "ranked-bands")
+            ready = ranked.groupBy("id").agg(F.max("place").alias("place")).filter(F.col("place") <= first).select("id")
+            pairs = ranked.select("id", "band", "h").join(
+                ranked.filter(F.col("place") <= first).select("band", "h", F.col("id").alias("first_id")), ["band", "h"]).filter(
+                "first_id < id").select("id", "first_id").distinct()
+            near = cut(pairs.join(a, "id").join(b, "first_id").filter(likely).filter(
+                common / (F.col("na") + F.col("nb") - common) >= threshold).select("id", "first_id").distinct(), "close")
+            if ranked.filter(F.col("place") > first).isEmpty():
+                close = near  # all pairs that matter are known now
+        else:
+            ready, near = open_.select("id").distinct(), close
+        new = cut(ready.join(near.select("id"), "id", "left_anti"), "kept")
         kept.append(new)
-        rivals = open_.join(new, "id", "left_anti")
-        pairs = (
-            rivals.join(open_.join(new, "id").select("band", "h", F.col("id").alias("kept_id")), ["band", "h"])
-            .select("id", "kept_id").distinct())
-        a = sizes.select("id", F.col("words").alias("wa"), F.col("n").alias("na"))
-        b = sizes.select(F.col("id").alias("kept_id"), F.col("words").alias("wb"), F.col("n").alias("nb"))
-        common = F.size(F.array_intersect("wa", "wb"))
-        dropped = cut(
-            pairs.join(a, "id").join(b, "kept_id")
-            .filter(common / (F.col("na") + F.col("nb") - common) >= threshold).select("id").distinct(), "dropped")
-        open_ = cut(rivals.join(dropped, "id", "left_anti"), "open")
+        dropped = near.join(new.select(F.col("id").alias("first_id")), "first_id", "left_semi").select("id")
+        gone = cut(new.unionByName(dropped).distinct(), "decided")
+        open_ = cut(open_.join(gone, "id", "left_anti"), "open")
+        if close is not None:
+            close = cut(close.join(gone, "id", "left_anti").join(
+                gone.select(F.col("id").alias("first_id")), "first_id", "left_anti").select("id", "first_id"), "close")
+        first *= 8
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
@@ -204,11 +216,14 @@ def clean_text(c: Column, prefix: str = "", max_length: int | None = None) -> Co
 
 # --------------------------------------------------------------------- neighbours
 
-def hard_negatives(vectors: DataFrame, positives: DataFrame, k: int = 10, take: int = 3) -> DataFrame:
+def hard_negatives(
+    vectors: DataFrame, positives: DataFrame, k: int = 10, take: int = 3, near: DataFrame | None = None
+) -> DataFrame:
     """V19. Of the k + 1 nearest rows, the first ``take`` that are no positive of the query.
 
-    ``positives`` is (id, neighbour).
+    ``positives`` is (id, neighbour); ``near`` holds the neighbours if they are known already.
     """
-    near = neighbours(vectors, k + 1).join(positives.select("id", "neighbour"), ["id", "neighbour"], "left_anti")
+    near = neighbours(vectors, k + 1) if near is None else near
+    near = near.join(positives.select("id", "neighbour"), ["id", "neighbour"], "left_anti")
     w = Window.partitionBy("id").orderBy("rank")
     return near.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= take)

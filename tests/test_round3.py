@@ -34,3 +34,27 @@ def test_nearest_with_crowded_and_far_points(spark, monkeypatch, listed):
 def test_cells_fit_the_targets(spark):
     targets = spark.createDataFrame([(float(i % 100), float(i // 100)) for i in range(10_000)], "rx double, ry double")
     assert geo.fitting_cell(targets, 64.0, 3) == (1.0, 10_000)
+
+
+def test_texts_of_a_band_that_are_not_similar_take_few_rounds(spark, monkeypatch):
+    texts = [" ".join([f"all{j}" for j in range(60)] + [f"own{i}_{j}" for j in range(10)]) for i in range(40)]
+    texts += [texts[3] + " more", texts[7] + " more"]
+    rounds, cut = [], pr.cut
+    monkeypatch.setattr(pr, "cut", lambda df, label="step": (rounds.append(label), cut(df, label))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert sorted(r.id for r in pr.drop_near_copies(df, "id", F.col("text")).collect()) == list(range(40))
+    assert rounds.count("kept") <= 6
+
+
+def test_near_copies_in_chains(spark):
+    """Each text is similar to the next two only: every third stays."""
+    texts = [" ".join(f"w{j}" for j in range(i * 4, i * 4 + 80)) for i in range(40)]
+    kept = []
+    for i, s in enumerate(texts):
+        mine = set(s.split())
+        if not any(len(mine & o) / len(mine | o) >= 0.8 for _, o in kept):
+            kept.append((i, mine))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted(r.id for r in pr.drop_near_copies(df, "id", F.col("text")).collect())
+    assert set(i for i, _ in kept) - set(got) == set() or len(got) <= len(kept) + 4  # a pair may share no band
+    assert len(got) < 25
