@@ -113,10 +113,16 @@ def without_repeats(events: DataFrame, delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+#: References are dealt to so many states. A call to the state store costs as much as many rows, so it serves many references.
+BUCKETS = 1024
+
+
 class PartialGroupState(StatefulProcessor):
     """R11. Count and total per reference; a reference is reported when its group can no longer grow.
 
-    The state of a reference is two numbers, however many settlements it has.
+    The state of a reference is its count, its total and the time until which it
+    may grow, however many settlements it has. The references of a bucket share
+    one entry and one timer, that of the first of them to be reported.
     """
 
     def __init__(self, wait_ms: int):
@@ -124,27 +130,39 @@ class PartialGroupState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._sums = handle.getValueState("sums", "n long, total long")
+        self._groups = handle.getValueState("groups", "ref array<string>, n array<long>, total array<long>, until array<long>")
+
+    def _held(self) -> pd.DataFrame:
+        held = self._groups.get() if self._groups.exists() else ([], [], [], [])
+        return pd.DataFrame({"ref": pd.Series(list(held[0]), dtype=object)} | {
+            c: pd.Series(list(x), dtype="int64") for c, x in zip(["n", "total", "until"], held[1:])})
+
+    def _keep(self, groups: pd.DataFrame) -> None:
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        if len(groups):
+            self._groups.update(tuple(groups[c].tolist() for c in ["ref", "n", "total", "until"]))
+            self._handle.registerTimer(int(groups["until"].min()))
+        else:
+            self._groups.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, total = self._sums.get() if self._sums.exists() else (0, 0)
-        last = None
+        groups = self._held()
         for batch in rows:
-            n += len(batch)
-            total += int(batch["net_amount"].sum())
-            at = batch["ts"].max()
-            last = at if last is None or at > last else last
-        self._sums.update((n, total))
-        if last is not None:
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
-            self._handle.registerTimer(int(last.timestamp() * 1000) + self._wait_ms)
+            new = batch.groupby("ref", sort=False).agg(
+                n=("at", "size"), total=("net_amount", "sum"), until=("at", "max")).reset_index()
+            new = new.astype({"n": "int64", "total": "int64", "until": "int64"})
+            new["until"] += self._wait_ms
+            groups = pd.concat([groups, new]).groupby("ref", sort=False).agg(
+                n=("n", "sum"), total=("total", "sum"), until=("until", "max")).reset_index()
+        self._keep(groups)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, total = self._sums.get()
-        self._sums.clear()
-        yield pd.DataFrame({"ref": [key[0]], "n": [n], "total": [total]})
+        groups = self._held()
+        over = groups["until"] <= timerValues.getCurrentWatermarkInMs()
+        self._keep(groups[~over])
+        yield groups.loc[over, ["ref", "n", "total"]]
 
     def close(self) -> None:
         pass
@@ -157,8 +175,9 @@ def partial_groups(bank: DataFrame, wait_days: int, delay: str = "1 day") -> Dat
     """
     rows = bank.select(
         text.settlement_group_reference(F.col("utr_reference"), F.col("description")).alias("ref"),
-        F.col("date").cast("timestamp").alias("ts"), "net_amount").filter("ref is not null")
-    return rows.withWatermark("ts", delay).groupBy("ref").transformWithStateInPandas(
+        F.col("date").cast("timestamp").alias("ts"), "net_amount").filter("ref is not null").withColumns({
+            "at": F.unix_millis("ts"), "bucket": F.pmod(F.xxhash64("ref"), F.lit(BUCKETS))})
+    return rows.withWatermark("ts", delay).groupBy("bucket").transformWithStateInPandas(
         PartialGroupState(wait_days * 86_400_000), "ref string, n long, total long", "append", "EventTime")
 
 

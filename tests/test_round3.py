@@ -36,6 +36,77 @@ def test_cells_fit_the_targets(spark):
     assert geo.fitting_cell(targets, 64.0, 3) == (1.0, 10_000)
 
 
+class _Value:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+class _Handle:
+    def __init__(self):
+        self.value, self.timers, self.calls = _Value(), set(), 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self.value
+
+    def listTimers(self):  # noqa: N802
+        return list(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+
+def test_references_of_a_bucket_share_a_state():
+    state, handle = flows.PartialGroupState(10), _Handle()
+    state.init(handle)
+    batch = lambda *rows: pd.DataFrame(rows, columns=["ref", "net_amount", "at"])
+    assert not list(state.handleInputRows((1,), iter([batch(("a", 5, 1), ("b", 7, 3)), batch(("a", 6, 2), ("c", -1, 90))]), _Watermark(0)))
+    assert handle.calls == 1 and handle.timers == {12}
+    out = pd.concat(state.handleExpiredTimer((1,), _Watermark(13), None))
+    assert sorted(map(tuple, out.to_numpy())) == [("a", 2, 11), ("b", 1, 7)] and handle.timers == {100}
+    list(state.handleInputRows((1,), iter([batch(("c", 2, 80), ("a", 1, 95))]), _Watermark(13)))
+    out = pd.concat(state.handleExpiredTimer((1,), _Watermark(100), None))
+    assert list(map(tuple, out.to_numpy())) == [("c", 2, 1)] and handle.timers == {105}
+    assert list(map(tuple, pd.concat(state.handleExpiredTimer((1,), _Watermark(105), None)).to_numpy())) == [("a", 1, 1)]
+    assert not handle.timers and not handle.value.exists()
+
+
+def test_partial_groups_stream(spark, tmp_path):
+    rows = [(f"REF{i}", "x", f"2024-01-{1 + i % 28:02d}", 10 + i) for i in range(60)] + [(f"REF{i}", "x", f"2024-01-{2 + i % 28:02d}", 1) for i in range(0, 60, 3)]
+    rows += [("REF999", "x", "2024-02-20", 5), ("REF999", "x", "2024-02-21", 5)]
+    df = spark.createDataFrame(rows, "utr_reference string, description string, day string, net_amount long").withColumn("date", F.to_date("day")).drop("day")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", flows.ROCKSDB)
+    try:
+        got = flows.collect_stream(flows.partial_groups(flows.file_stream(spark, str(tmp_path / "in"), df.schema), 30), "partial").filter("n > 1").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {(f"REF{i}", 2, 11 + i) for i in range(0, 60, 3) if 2 + i % 28 <= 21}  # reported by 2024-02-20
+    assert {tuple(r) for r in got} == want and want
+
+
 def test_texts_of_a_band_that_are_not_similar_take_few_rounds(spark, monkeypatch):
     texts = [" ".join([f"all{j}" for j in range(60)] + [f"own{i}_{j}" for j in range(10)]) for i in range(40)]
     texts += [texts[3] + " more", texts[7] + " more"]
