@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge.operators.ranking import with_rank
-from tallyforge.session import cut
+from tallyforge.session import cut, spread
 from tallyforge.settings import Settings
 
 # Fixed value: mean earth radius in metres.
@@ -32,23 +32,33 @@ def within_radius(
 ) -> DataFrame:
     """K18. Pairs (l_id, r_id, metres) at most ``metres`` apart, by an equi-join on grid cells.
 
-    Both sides are (id, lat, lng). Cells are ``metres`` high and wide enough at
-    ``max_abs_lat``, so a point's partners lie in its own or the eight cells
-    around it. Longitudes do not wrap at 180 degrees.
+    Both sides are (id, lat, lng). Cells are half of ``metres`` high and, in each
+    row of cells, about as wide (up to ``max_abs_lat``); a right point is copied
+    to the cells that its circle can touch. Few points can have many pairs, so
+    the cells are dealt over a fixed number of parts. Longitudes do not wrap at
+    180 degrees.
     """
-    high = metres / METRES_PER_DEGREE
-    wide = high / math.cos(math.radians(max_abs_lat))
-    cell = lambda c, size: F.floor(c / size)
-    near = lambda c, size: F.explode(F.sequence(cell(c, size) - 1, cell(c, size) + 1))
-    a = left.select(
+    reach = metres / METRES_PER_DEGREE * (1 + 1e-9)
+    high = reach / 2
+    row = lambda lat: F.floor(lat / high)
+    top = lambda cy: F.least(F.greatest(F.abs(cy), F.abs(cy + 1)) * high, F.lit(max_abs_lat))
+    wide = lambda cy: F.lit(high) / F.cos(F.radians(top(cy)))
+    # A path of this length crosses no more degrees than it would where the circle is nearest to a pole.
+    tip = F.abs("r_lat") + reach
+    side = F.when(tip < 89.9, reach / F.cos(F.radians(tip)) * (1 + 1e-9)).otherwise(360.0)
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    a = spread(left).select(
         F.col("id").alias("l_id"), F.col("lat").alias("l_lat"), F.col("lng").alias("l_lng"),
-        cell(F.col("lat"), high).alias("cy"), cell(F.col("lng"), wide).alias("cx"))
-    b = right.select(
-        F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"),
-        near(F.col("lat"), high).alias("cy")).withColumn("cx", near(F.col("r_lng"), wide))
+        row(F.col("lat")).alias("cy")).withColumn("cx", F.floor(F.col("l_lng") / wide(F.col("cy"))))
+    b = right.select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).withColumn(
+        "side", side).withColumn("cy", F.explode(F.sequence(row(F.col("r_lat") - reach), row(F.col("r_lat") + reach)))).withColumn(
+        "cx", F.explode(F.sequence(
+            F.floor((F.col("r_lng") - F.col("side")) / wide(F.col("cy"))), F.floor((F.col("r_lng") + F.col("side")) / wide(F.col("cy"))))))
     far = haversine(F.col("l_lat"), F.col("l_lng"), F.col("r_lat"), F.col("r_lng"))
-    return a.join(b, ["cy", "cx"]).withColumn("metres", far).filter(F.col("metres") <= metres).select(
-        "l_id", "r_id", "metres")
+    boxed = (F.abs(F.col("l_lat") - F.col("r_lat")) <= reach) & (F.abs(F.col("l_lng") - F.col("r_lng")) <= F.col("side"))
+    met = a.repartition(parts, "cy", "cx").join(b.repartition(parts, "cy", "cx").hint("shuffle_hash"), ["cy", "cx"]).filter(boxed)
+    return met.withColumn("metres", far).filter(F.col("metres") <= metres).select("l_id", "r_id", "metres")
 
 
 #: Targets that one searched list holds, about.

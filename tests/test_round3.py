@@ -36,6 +36,23 @@ def test_cells_fit_the_targets(spark):
     assert geo.fitting_cell(targets, 64.0, 3) == (1.0, 10_000)
 
 
+def test_radius_join_far_from_the_equator(spark):
+    rng = random.Random(2)
+    make = lambda n: [(i, rng.choice([-75.0, 0.0, 12.0, 61.0]) + rng.uniform(0, 0.4), 20 + rng.uniform(0, 0.6)) for i in range(n)]
+    left, right = make(300) + [(900, None, 1.0)], make(120)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lat double, lng double").coalesce(1)
+    found = geo.within_radius(frame(left), frame(right), 8000.0)
+    got = {(r.l_id, r.r_id) for r in found.collect()}
+
+    def metres(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * geo.EARTH_RADIUS * math.asin(math.sqrt(h))
+
+    assert got == {(a[0], b[0]) for a in left if a[1] is not None for b in right if metres(a, b) <= 8000.0} and len(got) > 100
+    assert found.rdd.getNumPartitions() > 1  # few rows, many pairs
+
+
 class _Value:
     held = None
 
