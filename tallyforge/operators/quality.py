@@ -49,11 +49,22 @@ def metric_variance(source: DataFrame, target: DataFrame, column: str) -> DataFr
         "pct_variance", F.when(s != 0, F.bround(F.lit(100.0) * (t - s) / s, 4)))
 
 
+#: Keys that one task compares, about.
+ROWS_OF_PART = 1_000_000
+
+
 def key_differences(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Keys only in the target (new) and only in the source (deleted)."""
-    s, t = source.select(key).distinct(), target.select(key).distinct()
-    return t.join(s, key, "left_anti").withColumn("change", F.lit("new")).unionByName(
-        s.join(t, key, "left_anti").withColumn("change", F.lit("deleted")))
+    rows = source.select(key, F.lit(0).alias("_side")).unionByName(target.select(key, F.lit(1).alias("_side")))
+    # Dealt first, into parts that do not grow with the input: keys rarely repeat, so counting them before holds them all.
+    conf = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = max(int(conf), rows.count() // ROWS_OF_PART)
+    sides = rows.repartition(parts, key).groupBy(key).agg(F.max("_side").alias("_new"), F.min("_side").alias("_old"))
+    # A key that is NULL equals no other.
+    alone = F.col(key).isNull() | (F.col("_new") == F.col("_old"))
+    changes = F.array_compact(F.array(
+        F.when(alone & (F.col("_new") == 1), "new"), F.when(alone & (F.col("_old") == 0), "deleted")))
+    return sides.select(key, F.explode(changes).alias("change"))
 
 
 def row_hash(columns: Sequence[str]) -> Column:

@@ -146,3 +146,12 @@ def test_near_copies_in_chains(spark):
     got = sorted(r.id for r in pr.drop_near_copies(df, "id", F.col("text")).collect())
     assert set(i for i, _ in kept) - set(got) == set() or len(got) <= len(kept) + 4  # a pair may share no band
     assert len(got) < 25
+
+
+def test_key_differences_with_null_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ROWS_OF_PART", 4)
+    s = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
+    t = spark.createDataFrame([(2,), (3,), (3,), (None,)], "k int")
+    got = quality.key_differences(s, t, "k")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "deleted"), (3, "new"), (None, "new"), (None, "deleted")], key=repr)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
