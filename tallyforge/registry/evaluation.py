@@ -8,7 +8,7 @@ from tallyforge.functions import stats
 from tallyforge.plans import evaluation as ev
 from tallyforge.plans import preparation as pr
 from tallyforge.registry.core import Registry
-from tallyforge.session import spread
+from tallyforge.session import cut, spread
 from tallyforge.sources import tables as t
 
 K = 5
@@ -211,10 +211,10 @@ def register(reg: Registry):
     def mined(s, d):
         """Positives: the neighbours with the query's own label."""
         e = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-        near_rows = pr.neighbours(_vectors(s, d), 11)
+        near_rows = cut(pr.neighbours(_vectors(s, d), 11), "near-rows")
         same = near_rows.join(e, "id").join(e.select(F.col("id").alias("neighbour"), F.col("label").alias("l2")), "neighbour").filter(
             "label = l2").select("id", "neighbour")
-        return pr.hard_negatives(_vectors(s, d), same).select("id", "neighbour", "nth")
+        return pr.hard_negatives(_vectors(s, d), same, near=near_rows).select("id", "neighbour", "nth")
 
     reg.add("V19_hard_negatives", mined, f"""
         SELECT id, neighbour, nth FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS nth FROM {near}

@@ -155,3 +155,10 @@ def test_key_differences_with_null_and_repeated_keys(spark, monkeypatch):
     got = quality.key_differences(s, t, "k")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "deleted"), (3, "new"), (None, "new"), (None, "deleted")], key=repr)
     assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
+
+
+def test_hard_negatives_take_known_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(pr, "neighbours", None)
+    near = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 3)], "id long, neighbour long, rank int")
+    got = pr.hard_negatives(None, near.filter("neighbour = 2"), near=near).collect()
+    assert sorted((r.neighbour, r.nth) for r in got) == [(3, 1), (4, 2)]
