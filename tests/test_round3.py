@@ -148,6 +148,48 @@ def test_near_copies_in_chains(spark):
     assert len(got) < 25
 
 
+def _references(rng, n):
+    return ["".join(rng.choice(["REF", "0", "1", "2", "é", "A", "-", "日"]) for _ in range(rng.randrange(14))) for _ in range(n)] + [
+        f"REF{rng.randrange(3000):09d}" for _ in range(n)] + ["x" * rng.randrange(70) for _ in range(5)]
+
+
+def test_pairs_are_scored_like_one_by_one():
+    rng = random.Random(3)
+    a, b = _references(rng, 200), _references(rng, 200)
+    rng.shuffle(a)
+    np.testing.assert_allclose(sim.reference_scores(a, b), [sim.reference_similarity(x, y) for x, y in zip(a, b)], atol=1e-12)
+
+
+def test_scores_from_a_floor_on(floor):
+    rng = random.Random(4)
+    texts, asked = _references(rng, 150), _references(rng, 25)
+    references = sim.References(texts)
+    for a in asked:
+        want, got = np.array([sim.reference_similarity(a, b) for b in texts]), references.scores(a, floor)
+        assert (got <= want + 1e-12).all()
+        np.testing.assert_allclose(got[want >= floor], want[want >= floor], atol=1e-12)
+
+
+def test_shortlist_of_references_without_near_ones(spark):
+    """Open references with a bound: the name does not count, ties go by pool order, blocks agree with one by one."""
+    rng = random.Random(6)
+    names = ["A B", "B A", "Acme", None]
+    records = [(f"S{i}", f"REF{rng.randrange(4000)}" if i % 2 else f"REF{rng.randrange(4000):09d}", rng.choice(names)) for i in range(80)]
+    pool = [(f"O{i}", f"REF{rng.randrange(4000):09d}", rng.choice(names), 400 - i) for i in range(400)]
+    got = {}
+    for r in shortlist.shortlist(spark.createDataFrame(records, "id string, ref string, name string"),
+                                 spark.createDataFrame(pool, "id string, ref string, name string, pos int")).collect():
+        got.setdefault(r.record_id, {})[r["rank"]] = (r.candidate_id, r.similarity_score, r.name_score)
+    for i, ref, name in records:
+        scored = []
+        for j, other, called, pos in pool:
+            r = sim.reference_similarity(ref, other)
+            n = sim.indel(" ".join(sorted(name.split())), " ".join(sorted(called.split()))) if name and called else 0.0
+            scored.append((-round(r if r >= 0.75 else 0.4 * r + 0.3 * n, 4), pos, j, round(n, 4)))
+        want = {rank: (j, -s, n) for rank, (s, _, j, n) in enumerate(sorted(scored)[:3], start=1) if -s >= 0.35}
+        assert got.get(i, {}) == want
+
+
 def test_key_differences_with_null_and_repeated_keys(spark, monkeypatch):
     monkeypatch.setattr(quality, "ROWS_OF_PART", 4)
     s = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
