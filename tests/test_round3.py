@@ -199,6 +199,20 @@ def test_key_differences_with_null_and_repeated_keys(spark, monkeypatch):
     assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
 
 
+def test_free_rows_of_the_phases(spark):
+    bank = spark.createDataFrame(
+        [("S1", "2024-01-01", 100, "REF1", "A"), ("S2", "2024-01-01", 9000, "REF2", "A"), (None, "2024-01-01", 7, None, "B")],
+        "settlement_id string, d string, net_amount long, utr_reference string, payer_account string").select(
+        "*", F.to_date("d").alias("date"), F.col("net_amount").alias("amount"), F.lit("x").alias("description"),
+        F.lit(0).cast("long").alias("fees_deducted")).drop("d")
+    ledger = spark.createDataFrame([("O1", 100, "REF1", 1), ("O2", 5, "REF2", 2)], "order_id string, expected_amount long, customer_reference string, ingest_seq long").select(
+        "*", F.lit("C").alias("customer_name"), F.to_date(F.lit("2024-01-01")).alias("expected_settlement_date"))
+    found, b, l = rc.matches_and_free(bank, ledger)
+    assert [(r.settlement_id, r.order_id) for r in found.collect()] == [("S1", "O1")]
+    assert b.exceptAll(matchers.unmatched(bank, found, "settlement_id")).isEmpty() and b.count() == 2
+    assert l.exceptAll(matchers.unmatched(ledger, found, "order_id")).isEmpty() and l.count() == 1
+
+
 def test_hard_negatives_take_known_neighbours(spark, monkeypatch):
     monkeypatch.setattr(pr, "neighbours", None)
     near = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 3)], "id long, neighbour long, rank int")
