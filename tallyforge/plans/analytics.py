@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge import settings as fixed
 from tallyforge.functions import money, text
+from tallyforge.session import cut
 
 
 def _ratio(a: Column, b: Column, default: float = 1.0) -> Column:
@@ -497,16 +498,17 @@ def lookups(
     q = questions.select("question_id", "value")
 
     def source(turn: int, name: str, df: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
-        named = df.select(F.col(id_column).alias("record_id"), F.explode(
-            F.array_distinct(F.array_compact(F.array(*[F.col(k) for k in keys])))).alias("value"))
-        return q.join(named, "value").select(
-            "question_id", F.lit(turn).alias("turn"), F.lit(name).alias("source"), "record_id").distinct()
+        return df.select(
+            F.lit(turn).alias("turn"), F.lit(name).alias("source"), F.col(id_column).alias("record_id"), F.explode(
+                F.array_distinct(F.array_compact(F.array(*[F.col(k) for k in keys])))).alias("value"))
 
-    found = (
+    # All sources meet the questions in one join, and what is found is written, as it is read twice.
+    named = (
         source(1, "bank", bank, "settlement_id", ["settlement_id", "utr_reference"])
         .unionByName(source(2, "exception", exceptions, "record_id", ["record_id"]))
         .unionByName(source(3, "ledger", ledger, "order_id", ["order_id", "customer_reference"]))
         .unionByName(source(4, "gateway", gateway, "payout_id", ["payout_id", "order_id", "utr_reference"])))
+    found = cut(q.join(named, "value").select("question_id", "turn", "source", "record_id").distinct(), "found")
     first = found.groupBy("question_id").agg(F.min("turn").alias("turn"))
     return found.join(first, ["question_id", "turn"]).select("question_id", "source", "record_id")
 

@@ -213,6 +213,16 @@ def test_free_rows_of_the_phases(spark):
     assert l.exceptAll(matchers.unmatched(ledger, found, "order_id")).isEmpty() and l.count() == 1
 
 
+def test_lookups_take_the_first_source(spark):
+    q = spark.createDataFrame([(1, "A"), (2, "B"), (3, "Z"), (4, None)], "question_id int, value string")
+    bank = spark.createDataFrame([("A", "A"), ("S", "A"), ("S", "A")], "settlement_id string, utr_reference string")
+    x = spark.createDataFrame([("B",), ("A",)], "record_id string")
+    ledger = spark.createDataFrame([("B", "A")], "order_id string, customer_reference string")
+    gateway = spark.createDataFrame([("P", "B", None)], "payout_id string, order_id string, utr_reference string")
+    got = sorted(map(tuple, analytics.lookups(q, bank, x, ledger, gateway).collect()))
+    assert got == [(1, "bank", "A"), (1, "bank", "S"), (2, "exception", "B")]
+
+
 def test_hard_negatives_take_known_neighbours(spark, monkeypatch):
     monkeypatch.setattr(pr, "neighbours", None)
     near = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 3)], "id long, neighbour long, rank int")
