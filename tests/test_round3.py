@@ -228,3 +228,17 @@ def test_hard_negatives_take_known_neighbours(spark, monkeypatch):
     near = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 3)], "id long, neighbour long, rank int")
     got = pr.hard_negatives(None, near.filter("neighbour = 2"), near=near).collect()
     assert sorted((r.neighbour, r.nth) for r in got) == [(3, 1), (4, 2)]
+
+
+def test_the_model_learns_from_every_training_document(spark, monkeypatch):
+    rows = [(i, f"text number {i} of many") for i in range(200)]
+    seen = []
+
+    def fit(samples, vocabulary):
+        for r in samples.filter("drawn > 0").collect():
+            seen.extend(len(x) for x in lm._sequences(r.data))
+        return attention.initial(vocabulary)
+
+    monkeypatch.setattr(lm, "fit", fit)
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(seen) == sum(not r.held_out for r in got) > 100 and len(got) == 200
