@@ -88,6 +88,38 @@ def test_shortlist_equals_brute_force_for_near_references(spark, seed):
     assert sorted((r.record_id, r.candidate_id) for r in got) == sorted((a, b) for a, b, _ in brute_shortlist(records, pool))
 
 
+def test_texts_near_others_are_found_by_what_they_have_in_common(monkeypatch):
+    """All pairs that reach a floor, and no others; few of the beginnings are looked at."""
+    rng = random.Random(6)
+    kinds = [lambda: f"REF{rng.randrange(2000):09d}", lambda: f"REF{rng.randrange(2000)}", lambda: "0" * rng.randrange(1, 4) + str(rng.randrange(50)),
+             lambda: "".join(rng.choice("AB01") for _ in range(rng.randrange(1, 9))),
+             lambda: "".join(rng.choice("ABÉ012-") for _ in range(rng.choice([5, 20, 66])))]
+    for front in (5, 1000, 1_000_000):
+        monkeypatch.setattr(sim, "FRONT", front)
+        texts, asking = (sorted({rng.choice(kinds)() for _ in range(n)}) for n in (60, 15))
+        floors = [rng.choice([0.75, 0.8, 0.8332, 0.9, 0.9165, 1.0]) for _ in asking]
+        want = {(i, j): s for i, a in enumerate(asking) for j, p in enumerate(texts) if (s := sim.reference_similarity(a, p)) >= floors[i]}
+        who, text, score = sim.Near(texts).pairs(asking, floors)
+        assert dict(zip(zip(who.tolist(), text.tolist()), score.tolist())) == pytest.approx(want) and len(who) == len(want)
+
+
+def test_shortlist_of_open_references_lists_few_pairs_a_block(spark, monkeypatch):
+    """References written without their zeros stay open; what they meet is held back to k texts of a block, and no name is compared."""
+    rng = random.Random(8)
+    records = [(f"S{i}", f"REF{rng.randrange(1000, 3000)}", "A") for i in range(40)] + [(f"T{i}", f"REF{rng.randrange(3000):09d}", "A") for i in range(40)]
+    pool = [(f"O{i}", f"REF{n:09d}", "C", i) for i, n in enumerate(rng.sample(range(0, 3000, 7), 300))]
+    monkeypatch.setattr(shortlist, "SEARCH_LEAST", 10)
+    monkeypatch.setattr(shortlist, "SEARCH_BLOCK", 70)
+    monkeypatch.setattr(shortlist, "SEARCH_BATCH", 7)
+    real, compared = shortlist.compared, []
+    monkeypatch.setattr(shortlist, "compared", lambda records, *a: compared.append(records.count()) or real(records, *a))
+    got = shortlist.shortlist(
+        spark.createDataFrame(records, "id string, ref string, name string"),
+        spark.createDataFrame(pool, "id string, ref string, name string, pos int")).collect()
+    assert sorted((r.record_id, r.candidate_id) for r in got) == sorted((a, b) for a, b, _ in brute_shortlist(records, pool))
+    assert sum(compared) < 5
+
+
 def test_shortlist_equals_brute_force_for_far_references(spark, monkeypatch):
     """References with little in common, equal and similar names, missing names, hot names: the whole list of every record."""
     rng = random.Random(4)
