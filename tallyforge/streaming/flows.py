@@ -18,7 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tallyforge.functions import text
 from tallyforge.operators import matchers
-from tallyforge.session import new_path
+from tallyforge.operators.skewjoin import broadcast_if_small
+from tallyforge.session import cut, new_path
 from tallyforge.settings import Settings
 from tallyforge.sources.store import path_exists
 
@@ -183,6 +184,10 @@ def partial_groups(bank: DataFrame, wait_days: int, delay: str = "1 day") -> Dat
 
 # --------------------------------------------------------------------- joins and matching
 
+#: Most references of a micro-batch that are sent to all tasks.
+BATCH_KEYS = 500_000
+
+
 def match_stream_to_ledger(
     bank: DataFrame, ledger: DataFrame, matches_path: str, checkpoint: str, settings: Settings = Settings()
 ) -> StreamingQuery:
@@ -190,17 +195,23 @@ def match_stream_to_ledger(
 
     Each micro-batch is matched against the orders that earlier batches left,
     and writes its matches into a folder of its own number: a repeated batch
-    reads only the folders before it and replaces its own.
+    reads only the folders before it and replaces its own. Orders whose
+    reference no settlement of the batch has cannot match; what is left without
+    them is written, so the ledger is read once a batch and, while the batch's
+    references are few, neither it nor the earlier matches are shuffled.
     """
     spark = ledger.sparkSession
+    order_key = text.reference_key(F.col("customer_reference"))
 
     def write(batch: DataFrame, batch_id: int):
         earlier = [f"{matches_path}/batch_id={i}" for i in range(batch_id)]
         earlier = [p for p in earlier if path_exists(spark, p)]
-        free = ledger
+        keys = batch.select(matchers.reference_key_of(batch).alias("_key")).filter("_key is not null").distinct()
+        free = cut(ledger.join(broadcast_if_small(keys, BATCH_KEYS), order_key == F.col("_key"), "left_semi"), "batch-orders")
         if earlier:
-            taken = spark.read.schema("settlement_id string, order_id string, rule_applied string").parquet(*earlier)
-            free = ledger.join(taken.select("order_id"), "order_id", "left_anti")
+            taken = spark.read.schema("settlement_id string, order_id string, rule_applied string").parquet(*earlier).select("order_id")
+            taken = taken.join(broadcast_if_small(free.select("order_id"), BATCH_KEYS), "order_id", "left_semi")
+            free = free.join(taken, "order_id", "left_anti")
         found = matchers.match_exact_then_tolerance(batch, free, settings)
         found.write.mode("overwrite").parquet(f"{matches_path}/batch_id={batch_id}")
 

@@ -242,3 +242,31 @@ def test_the_model_learns_from_every_training_document(spark, monkeypatch):
     monkeypatch.setattr(lm, "fit", fit)
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(seen) == sum(not r.held_out for r in got) > 100 and len(got) == 200
+
+
+def test_a_micro_batch_meets_only_orders_of_its_references(spark, tmp_path, monkeypatch):
+    """Orders that no settlement of the batch names are left out before anything is matched; those that earlier batches took, too."""
+    import datetime as dt
+
+    bank = ("settlement_id string, date date, amount long, utr_reference string, payer_account string, fees_deducted long, tax_deducted long, "
+            "net_amount long, description string, currency string, ingest_seq long")
+    day = dt.date(2024, 1, 5)
+    row = lambda i, ref: (f"S{i}", day, 100_000, ref, "A", 0, 0, 100_000, "Settlement for REF77" if ref is None else "x", "INR", i)
+    for i, refs in enumerate((["REF1", "REF2", None], ["ref1 ", "REF3"])):
+        spark.createDataFrame([row(10 * i + j, r) for j, r in enumerate(refs)], bank).coalesce(1).write.mode("append").parquet(str(tmp_path / "drops"))
+    ledger = spark.createDataFrame(
+        [(f"O{i}", f"REF{i}" if i else None, 100_000, day, i) for i in range(100)],
+        "order_id string, customer_reference string, expected_amount long, expected_settlement_date date, ingest_seq long")
+    real, met = matchers.match_exact_then_tolerance, []
+
+    def match(batch, free, settings):
+        met.append(sorted(r.order_id for r in free.select("order_id").collect()))
+        return real(batch, free, settings)
+
+    monkeypatch.setattr(matchers, "match_exact_then_tolerance", match)
+    stream = flows.file_stream(spark, str(tmp_path / "drops"), spark.read.parquet(str(tmp_path / "drops")).schema, max_files=1)
+    flows.match_stream_to_ledger(stream, ledger, str(tmp_path / "out"), str(tmp_path / "check"))
+    found = {(r.settlement_id, r.order_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # The files may come in either order; O1 goes to the one that came first.
+    assert sorted(map(len, met)) in ([1, 3], [2, 2]) and found in (
+        {("S0", "O1"), ("S1", "O2"), ("S2", "O77"), ("S11", "O3")}, {("S10", "O1"), ("S1", "O2"), ("S2", "O77"), ("S11", "O3")})
