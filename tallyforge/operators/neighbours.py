@@ -17,6 +17,8 @@ from tallyforge.session import cut
 
 #: Candidates of a block, blocks of a chunk, blocks that meet a chunk in one task, and pivots at most.
 BLOCK_ROWS, CHUNK_BLOCKS, MEETING_BLOCKS, MOST_PIVOTS = 1024, 8, 32, 1024
+#: A block travels once for each chunk, so chunks grow with the rows once there are so many of them, up to so many blocks.
+CHUNKS, MOST_CHUNK_BLOCKS = 12, 64
 #: Classes that one pivot stands for, about.
 PIVOT_ROWS = 1000
 #: What sums of doubles may differ by.
@@ -101,8 +103,13 @@ class _Best:
         keep = place < self.k
         self.score[at[row[keep]], place[keep]], self.other[at[row[keep]], place[keep]] = score[keep], other[keep]
 
-    def rows(self, ids: np.ndarray) -> pd.DataFrame:
-        row, col = np.nonzero(np.isfinite(self.score))
+    def rows(self, ids: np.ndarray, known: np.ndarray | None = None) -> pd.DataFrame:
+        """What is held; without the others that were ``known`` of a query."""
+        new = np.isfinite(self.score)
+        if known is not None:
+            for at in range(0, len(new), 4096):
+                new[at:at + 4096] &= ~(self.other[at:at + 4096, :, None] == known[at:at + 4096, None, :]).any(2)
+        row, col = np.nonzero(new)
         return pd.DataFrame({"cls": ids[row], "other": self.other[row, col], "score": self.score[row, col]})
 
 
@@ -151,7 +158,7 @@ def _pivots_in_reach(pivots: np.ndarray, radii: np.ndarray):
 
 
 def _others(k: int):
-    """The better candidates of a chunk's classes among the blocks that came to it."""
+    """The better candidates of a chunk's classes among the blocks that came to it; those of its own blocks are known."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -162,13 +169,13 @@ def _others(k: int):
         known = _matrix(q["score"], len(ids))
         best = _Best(len(ids), k)
         best.score[:] = known
-        best.other[:] = np.frombuffer(q["other"], np.int64).reshape(len(ids), k)
+        best.other[:] = mine = np.frombuffer(q["other"], np.int64).reshape(len(ids), k)
         for r in right.itertuples():
             away = np.sqrt(np.maximum(0, ((x - np.asarray(r.centroid)) ** 2).sum(1))) - r.radius - SLACK
             which = np.flatnonzero(away <= np.sqrt(np.maximum(0, 2 - 2 * np.maximum(best.score[:, -1], -1))))
             if len(which):
                 _search(best, x, which, _matrix(r.vectors, r.n), np.frombuffer(r.ids, np.int64))
-        return best.rows(ids)
+        return best.rows(ids, mine)
 
     return run
 
@@ -177,10 +184,12 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def class_neighbours(classes: DataFrame, k: int, block_rows: int = BLOCK_ROWS, chunk_blocks: int = CHUNK_BLOCKS,
-                     meeting_blocks: int = MEETING_BLOCKS, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+def class_neighbours(classes: DataFrame, k: int, block_rows: int = BLOCK_ROWS, chunk_blocks: int | None = None,
+                     meeting_blocks: int | None = None, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
     """(cls, vector) of distinct vectors -> (cls, other, score): the ``k`` nearest classes of each, itself among them."""
     n = classes.count()
+    chunk_blocks = max(CHUNK_BLOCKS, min(MOST_CHUNK_BLOCKS, n // (block_rows * CHUNKS))) if chunk_blocks is None else chunk_blocks
+    meeting_blocks = max(MEETING_BLOCKS, chunk_blocks) if meeting_blocks is None else meeting_blocks
     count = min(MOST_PIVOTS, max(1, n // pivot_rows))
     chosen = classes.orderBy(F.xxhash64("cls"), "cls").limit(count).select("vector").collect()
     if not chosen:
@@ -208,7 +217,7 @@ def class_neighbours(classes: DataFrame, k: int, block_rows: int = BLOCK_ROWS, c
         F.col("chunk").alias("to"), F.col("turn").alias("at"), "n", "ids", "vectors", "centroid", "radius")
     found = asked.groupBy("chunk", "turn").cogroup(came.groupBy("to", "at")).applyInPandas(_others(k), _TOPS)
     own = chunks.select("ids", "score", "other").mapInPandas(_first(k), _TOPS)
-    every = own.unionByName(found).distinct()
+    every = own.unionByName(found)
     best = Window.partitionBy("cls").orderBy(F.desc("score"), "other")
     return every.withColumn("_i", F.row_number().over(best)).filter(F.col("_i") <= k).drop("_i")
 

@@ -270,3 +270,21 @@ def test_a_micro_batch_meets_only_orders_of_its_references(spark, tmp_path, monk
     # The files may come in either order; O1 goes to the one that came first.
     assert sorted(map(len, met)) in ([1, 3], [2, 2]) and found in (
         {("S0", "O1"), ("S1", "O2"), ("S2", "O77"), ("S11", "O3")}, {("S10", "O1"), ("S1", "O2"), ("S2", "O77"), ("S11", "O3")})
+
+
+def test_a_meeting_of_chunk_and_blocks_gives_only_what_is_new():
+    """What a chunk's own blocks gave is not sent again from every meeting."""
+    from tallyforge.operators import neighbours as nb
+
+    rng, k = np.random.default_rng(3), 3
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    mine, others = unit(rng.standard_normal((12, 4))), unit(rng.standard_normal((20, 4)))
+    score = mine @ mine.T
+    best = np.argsort(-score, 1)[:, :k]
+    left = pd.DataFrame([(np.arange(12).tobytes(), mine.tobytes(), np.take_along_axis(score, best, 1).copy().tobytes(), best.astype(np.int64).tobytes())],
+                        columns=["ids", "vectors", "score", "other"])
+    right = pd.DataFrame([(20, np.arange(100, 120).tobytes(), others.tobytes(), others.mean(0), 2.0)], columns=["n", "ids", "vectors", "centroid", "radius"])
+    got = nb._others(k)((0, 0), left, right)
+    every = np.concatenate((score, mine @ others.T), 1)
+    want = {(i, int(j) + 88) for i, row in enumerate(np.argsort(-every, 1)[:, :k]) for j in row if j >= 12}
+    assert len(want) and set(zip(got["cls"].tolist(), got["other"].tolist())) == want
